@@ -29,9 +29,13 @@ def bm25(docs: DataFrame, keys: list[str], text: str, query: str) -> DataFrame:
     wanted = sorted({t for t in "".join(c if (c.isascii() and c.isalnum()) or c == "_" else " " for c in query.lower()).split()})
     t = docs.select(*keys, terms(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
     stats = t.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms").cast("double")).alias("avg_len"))
+
+    def _times(word: str) -> Column:
+        return F.size(F.filter("terms", lambda x: x == F.lit(word)))
+
     hit = t.select(
         *keys, F.size("terms").alias("doc_len"),
-        F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.size(F.filter("terms", lambda x, w=w: x == F.lit(w))).alias("tf")) for w in wanted])).alias("h"),
+        F.explode(F.array(*[F.struct(F.lit(w).alias("term"), _times(w).alias("tf")) for w in wanted])).alias("h"),
     ).filter("h.tf > 0").select(*keys, "doc_len", "h.term", "h.tf")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
