@@ -23,7 +23,7 @@ COMMON = {
     "fr": "le la les l un une des du de et ou mais ne n pas plus est sont que qui qu il elle on nous dans sur pour par avec car si ce cette ces chaque se s en au aux jusqu puis après",
     "es": "el la los las un una de del y o pero no ya se es está que en por para con cada este esta estos porque si después hasta una su más al lo nos hay",
 }
-_ANY = "|".join(sorted({w for words in COMMON.values() for w in words.split()}, key=lambda w: (-len(w), w)))
+_ANY = sorted({w for words in COMMON.values() for w in words.split()})
 
 #: A line that is an item of a list, a heading, a row, a path or a block mark rather than running text.
 LIST_MARK = r"^\s*(?:[-*+•–—·○▪►>#]+\s|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.):]\s|#{1,6}|\||[│├└╭╰─+=]{2}|@\w|:\w+)"
@@ -35,35 +35,39 @@ def _count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
-def _words(c: Column) -> Column:
-    return _count(c, r"[\p{L}\p{M}]+")
+def _word_list(c: Column) -> Column:
+    """Lower-cased words; parts of dotted, snake-cased and camel-cased names count as words of their own."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}]+"), lambda w: w != F.lit(""))
 
 
-def _common(c: Column) -> Column:
-    return _count(F.lower(c), rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.])(?:{_ANY})(?![\p{{L}}\p{{M}}\p{{N}}_(=])")
+def _among(words: Column, these: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(these)))
 
 
 def _cjk(c: Column) -> Column:
     return _count(c, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
 
 
-def _per_line(line: Column) -> Column:
-    """What a line adds: characters, characters of running text, of list items."""
-    size = F.length(F.regexp_replace(line, r"\s+", ""))
-    words, common, cjk = _words(line), _common(line), _cjk(line)
-    marked, code = line.rlike(LIST_MARK), line.rlike(CODE_MARK)
-    symbols = _count(line, r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。、，…’“”«»-]") + _count(line, r"\d+")
-    plain = ~code & (symbols <= 0.12 * size)
-    latin = (words >= 2) & (common >= 0.2 * words)
-    chinese = (cjk >= 6) & (cjk >= 0.25 * size) & (_count(line, r"[。、，！？\p{IsHiragana}]|[的了在是会这以从不]") >= 0.04 * cjk)
-    running = plain & (latin | chinese)
-    long_item = (words >= 13) | (cjk >= 25)
+def _measured(line: Column) -> Column:
+    """What the tests of a line need, each counted once."""
+    words = _word_list(line)
     return F.struct(
-        size.cast("double").alias("size"), F.when(running & (~marked | long_item), size).otherwise(0).cast("double").alias("prose"),
-        F.when(marked | code, size).otherwise(0).cast("double").alias("other"),
+        F.length(F.regexp_replace(line, r"\s+", "")).alias("size"), F.size(words).alias("words"), _among(words, _ANY).alias("common"), _cjk(line).alias("cjk"),
+        (line.rlike(LIST_MARK)).alias("marked"), line.rlike(CODE_MARK).alias("code"),
+        _count(line, r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。、，…’“”«»-]|\d+").alias("symbols"), _count(line, r"[。、，！？\p{IsHiragana}的了在是会这以从不]").alias("joints"),
     )
 
 
+def _judged(x: Column) -> Column:
+    """Characters of a line, of running text, of list items and code."""
+    plain = ~x["code"] & (x["symbols"] <= 0.12 * x["size"])
+    latin = (x["words"] >= 2) & (x["common"] >= 0.2 * x["words"])
+    chinese = (x["cjk"] >= 6) & (x["cjk"] >= 0.25 * x["size"]) & (x["joints"] >= 0.04 * x["cjk"])
+    running = plain & (latin | chinese) & (~x["marked"] | (x["words"] >= 13) | (x["cjk"] >= 25))
+    part = lambda c, name: F.when(c, x["size"]).otherwise(0).cast("double").alias(name)
+    return F.struct(x["size"].cast("double").alias("size"), part(running, "prose"), part(x["marked"] | x["code"], "other"))
+
+
 def lines_of(text: Column) -> Column:
     """Trimmed, non-empty lines without markup tags; a quote mark at the start of a mail line is no list mark."""
     bare = F.regexp_replace(F.regexp_replace(text, r"</(?:p|div|li|h\d|td|tr)>|<br ?/?>", "\n"), r"</?[a-zA-Z][^<>\n]{0,80}>|﻿|​", "")
@@ -76,17 +80,17 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     prose_ratio, list_ratio, distinct_ratio, mark_ratio, language (by the text)."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(key), t.alias("t")).withColumn("lines", lines_of(F.col("t")))
-    d = d.withColumn("n", F.size("lines")).withColumn("parts", F.transform("lines", _per_line))
+    d = d.withColumn("n", F.size("lines")).withColumn("parts", F.transform(F.transform("lines", _measured), _judged))
     total = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + p[f])
     size = F.length(F.regexp_replace("t", r"\s+", ""))
-    words = _words(F.col("t"))
+    d = d.withColumn("w", _word_list(F.col("t")))
     sentences = F.filter(F.transform(F.split("t", r"[.!?。！？\r\n]+"), lambda s: F.lower(F.trim(s))), lambda s: F.length(s) > 8)
     d = d.select(
-        key, "t", size.alias("size"), words.alias("words"), _common(F.col("t")).alias("common"), _cjk(F.col("t")).alias("cjk"),
+        key, "t", size.alias("size"), F.size("w").alias("words"), _among(F.col("w"), _ANY).alias("common"), _cjk(F.col("t")).alias("cjk"),
         _count(F.col("t"), r"[^\p{L}\p{M}\p{N}\s]").alias("symbols"), _count(F.col("t"), r"\d").alias("digits"), _count(F.col("t"), r"\p{M}|�").alias("marks"),
         _count(F.col("t"), r"[\p{L}\p{M}]").alias("letters"), "n", F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:…。！？][\"')»”]*$"))).alias("ended"),
         total("size").alias("chars"), total("prose").alias("prose"), total("other").alias("other"), sentences.alias("s"),
-        *[_count(F.lower(F.col("t")), rf"(?<!\p{{L}})(?:{'|'.join(w.split())})(?!\p{{L}})").alias(f"in_{k}") for k, w in COMMON.items()], _count(F.col("t"), r"\p{IsHiragana}").alias("kana"),
+        *[_among(F.col("w"), w.split()).alias(f"in_{k}") for k, w in COMMON.items()], _count(F.col("t"), r"\p{IsHiragana}").alias("kana"),
     )
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     best = F.greatest(*[F.col(f"in_{k}") for k in COMMON])

@@ -150,8 +150,8 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", fold
                 for p in parts:
                     if p["pos"] != seen:
                         seen = p["pos"]
-                        seq.append((p["chunk"], p["ids"], p["tail_len"], p["tail_n"]))
-                out.append(join_chunks(seq, enc.encode_ordinary, pattern) if len(seq) > 1 else list(seq[0][1]))
+                        seq.append((p["chunk"], list(p["ids"]), p["tail_len"], p["tail_n"]))
+                out.append(join_chunks(seq, enc.encode_ordinary, pattern) if len(seq) > 1 else seq[0][1])
             yield pd.DataFrame({key: b["key"], "ids": out})
 
     chunks = chunk_table(docs, key, text)
