@@ -1,0 +1,262 @@
+"""Grammars over token classes: permissible adjacent pairs and recognisers of bracket levels.
+
+A grammar is a set of rules ``Name := expression`` whose expressions use quoted or named terminals, other rules,
+``( ) | * + ?`` and bracket groups ``'(' X ')'``. Rules may recurse through bracket groups only. From that follow
+
+* ``pairs``: every pair of tokens that may stand side by side (with ``^`` before and ``$`` behind the text), from the first
+  and last sets of the parts;
+* ``levels``: one recogniser for the text itself and one for the content of each kind of bracket; inside a level a nested
+  group is the single character of its closing bracket, so each level is a regular language. Recognisers are position
+  automata, determinised as they run.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from weftgraph.parse.lexers import alphabet
+
+OPEN = {"(": ")", "[": "]", "{": "}"}
+
+
+class _Parser:
+    def __init__(self, text: str):
+        self.toks = re.findall(r"'[^']+'|\w+|[()|*+?]", text)
+        self.i = 0
+
+    def peek(self) -> str | None:
+        return self.toks[self.i] if self.i < len(self.toks) else None
+
+    def alt(self):
+        parts = [self.seq()]
+        while self.peek() == "|":
+            self.i += 1
+            parts.append(self.seq())
+        return parts[0] if len(parts) == 1 else ("alt", parts)
+
+    def seq(self):
+        items = []
+        while (t := self.peek()) is not None and t not in "|)":
+            if t == "(":
+                self.i += 1
+                node = self.alt()
+                self.i += 1
+            else:
+                self.i += 1
+                node = ("lit", t[1:-1]) if t[0] == "'" else ("name", t)
+            while (q := self.peek()) is not None and q in "*+?":
+                self.i += 1
+                node = ("opt", node) if q == "?" else ("star", node) if q == "*" else ("seq", [node, ("star", node)])
+            items.append(node)
+        return ("seq", _grouped(items))
+
+
+def _grouped(items: list) -> list:
+    """Literal brackets and what lies between them become one group node."""
+    out, i = [], 0
+    while i < len(items):
+        n = items[i]
+        if n[0] == "lit" and n[1] in OPEN:
+            depth, j = 1, i
+            while depth:
+                j += 1
+                if items[j][0] == "lit":
+                    depth += (items[j][1] == n[1]) - (items[j][1] == OPEN[n[1]])
+            out.append(("group", n[1], ("seq", _grouped(items[i + 1 : j]))))
+            i = j
+        else:
+            out.append(n)
+        i += 1
+    return out
+
+
+class Grammar:
+    def __init__(self, lang: str, rules: str, top: str = "Top"):
+        self.letters = alphabet(lang)
+        self.rules = {}
+        for line in re.split(r"\n(?=\w+ :=)", rules.strip()):
+            name, body = line.split(":=", 1)
+            self.rules[name.strip()] = _Parser(body).alt()
+        self.top = top
+        self._cache: dict = {}
+
+    def letter(self, name: str) -> str:
+        return self.letters[name]
+
+    def _sets(self, node) -> tuple[bool, frozenset, frozenset]:
+        """(nullable, first, last) at token level."""
+        key = id(node)
+        if key in self._cache:
+            return self._cache[key]
+        kind = node[0]
+        if kind == "lit" or (kind == "name" and node[1] not in self.rules):
+            s = frozenset(self.letter(node[1]))
+            r = (False, s, s)
+        elif kind == "name":
+            r = self._sets(self.rules[node[1]])
+        elif kind == "group":
+            r = (False, frozenset(node[1]), frozenset(OPEN[node[1]]))
+        elif kind == "alt":
+            xs = [self._sets(x) for x in node[1]]
+            r = (any(x[0] for x in xs), frozenset().union(*(x[1] for x in xs)), frozenset().union(*(x[2] for x in xs)))
+        elif kind in ("opt", "star"):
+            x = self._sets(node[1])
+            r = (True, x[1], x[2])
+        else:
+            null, first, last = True, frozenset(), frozenset()
+            for x in map(self._sets, node[1]):
+                first = first | x[1] if null else first
+                last = last | x[2] if x[0] else x[2]
+                null = null and x[0]
+            r = (null, first, last)
+        self._cache[key] = r
+        return r
+
+    @property
+    def pairs(self) -> set[str]:
+        """All permissible adjacent pairs as two-character strings."""
+        out: set[str] = set()
+        seen: set[str] = set()
+
+        def cross(a, b):
+            out.update(x + y for x in a for y in b)
+
+        def walk(node):
+            kind = node[0]
+            if kind == "name" and node[1] in self.rules:
+                if node[1] not in seen:
+                    seen.add(node[1])
+                    walk(self.rules[node[1]])
+            elif kind == "alt":
+                for x in node[1]:
+                    walk(x)
+            elif kind in ("opt", "star"):
+                walk(node[1])
+                if kind == "star":
+                    _, f, la = self._sets(node[1])
+                    cross(la, f)
+            elif kind == "seq":
+                for i, x in enumerate(node[1]):
+                    walk(x)
+                    for y in node[1][i + 1 :]:
+                        cross(self._sets(x)[2], self._sets(y)[1])
+                        if not self._sets(y)[0]:
+                            break
+            elif kind == "group":
+                walk(node[2])
+                null, f, la = self._sets(node[2])
+                cross(node[1], f)
+                cross(la, OPEN[node[1]])
+                if null:
+                    out.add(node[1] + OPEN[node[1]])
+
+        walk(("name", self.top))
+        null, f, la = self._sets(("name", self.top))
+        cross("^", f)
+        cross(la, "$")
+        out.add("^$")  # an empty file and one of comments only are valid everywhere
+        return out
+
+    def contents(self, bracket: str) -> list:
+        """All contents that groups of this bracket have in the rules."""
+        out: list = []
+        seen: set[str] = set()
+
+        def walk(node):
+            if node[0] == "name" and node[1] in self.rules:
+                if node[1] not in seen:
+                    seen.add(node[1])
+                    walk(self.rules[node[1]])
+            elif node[0] in ("alt", "seq"):
+                for x in node[1]:
+                    walk(x)
+            elif node[0] in ("opt", "star"):
+                walk(node[1])
+            elif node[0] == "group":
+                if node[1] == bracket:
+                    out.append(node[2])
+                walk(node[2])
+
+        walk(("name", self.top))
+        return out
+
+    @property
+    def levels(self) -> dict[str, Recogniser]:
+        """'' -> recogniser of the text, '(' '[' '{' -> recogniser of a group's content."""
+        r = {"": Recogniser(self, ("opt", ("name", self.top)))}
+        for b in OPEN:
+            found = self.contents(b)
+            r[b] = Recogniser(self, ("alt", found) if found else ("seq", []))
+        return r
+
+
+class Recogniser:
+    """Position automaton of a level, made deterministic as needed."""
+
+    def __init__(self, grammar: Grammar, node):
+        self.symbols: list[str] = []
+        self.follow: list[set[int]] = []
+        null, first, last = self._build(grammar, node)
+        self.start, self.accept_empty, self.last = frozenset(first), null, frozenset(last)
+        self.moves: dict = {}
+
+    def _build(self, g: Grammar, node):
+        kind = node[0]
+        if kind == "name" and node[1] in g.rules:
+            return self._build(g, g.rules[node[1]])
+        if kind in ("lit", "name", "group"):
+            p = len(self.symbols)
+            self.symbols.append(OPEN[node[1]] if kind == "group" else g.letter(node[1]))
+            self.follow.append(set())
+            return False, {p}, {p}
+        if kind == "alt":
+            null, first, last = False, set(), set()
+            for x in node[1]:
+                n, f, la = self._build(g, x)
+                null, first, last = null or n, first | f, last | la
+            return null, first, last
+        if kind in ("opt", "star"):
+            n, f, la = self._build(g, node[1])
+            if kind == "star":
+                for p in la:
+                    self.follow[p] |= f
+            return True, f, la
+        null, first, last = True, set(), set()
+        for x in node[1]:
+            n, f, la = self._build(g, x)
+            for p in last:
+                self.follow[p] |= f
+            first = first | f if null else first
+            last = last | la if n else la
+            null = null and n
+        return null, first, last
+
+    def _move(self, state, c):
+        key = (state, c)
+        if key not in self.moves:
+            into = self.start if state is None else frozenset().union(*(self.follow[p] for p in state))
+            self.moves[key] = frozenset(p for p in into if self.symbols[p] == c)
+        return self.moves[key]
+
+    def accepts(self, s: str) -> bool:
+        if not s:
+            return self.accept_empty
+        state = None
+        for c in s:
+            state = self._move(state, c)
+            if not state:
+                return False
+        return bool(state & self.last)
+
+
+@lru_cache(maxsize=16)
+def grammar(lang: str) -> Grammar:
+    from weftgraph.parse.rules import RULES
+
+    return Grammar(lang, RULES[lang])
+
+
+@lru_cache(maxsize=16)
+def levels(lang: str) -> dict[str, Recogniser]:
+    return grammar(lang).levels
