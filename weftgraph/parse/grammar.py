@@ -84,6 +84,9 @@ class Grammar:
     def letter(self, name: str) -> str:
         return self.letters[name]
 
+    def nullable(self, node) -> bool:
+        return self._sets(node)[0]
+
     def _sets(self, node) -> tuple[bool, frozenset, frozenset]:
         """(nullable, first, last) at token level."""
         key = id(node)
@@ -186,30 +189,29 @@ class Grammar:
         """'' -> recogniser of the text, '(' '[' '{' -> recogniser of a group's content."""
         r = {"": Recogniser(self, ("opt", ("name", self.top)))}
         for b in OPEN:
-            found = self.contents(b)
+            found = list({repr(x): x for x in self.contents(b)}.values())
             r[b] = Recogniser(self, ("alt", found) if found else ("seq", []))
         return r
 
 
-class Recogniser:
-    """Position automaton of a level, made deterministic as needed."""
+class _Rule:
+    """Position automaton of one rule; a symbol is a class character or the name of another rule."""
 
-    def __init__(self, grammar: Grammar, node):
+    def __init__(self, g: Grammar, node):
         self.symbols: list[str] = []
+        self.call: list[bool] = []
         self.follow: list[set[int]] = []
-        null, first, last = self._build(grammar, node)
-        self.start, self.accept_empty, self.last = frozenset(first), null, frozenset(last)
-        self.moves: dict = {}
+        self.null, self.first, self.last = self._build(g, node)
 
     def _build(self, g: Grammar, node):
         kind = node[0]
-        if kind == "name" and node[1] in g.rules:
-            return self._build(g, g.rules[node[1]])
         if kind in ("lit", "name", "group"):
             p = len(self.symbols)
-            self.symbols.append(OPEN[node[1]] if kind == "group" else g.letter(node[1]))
+            called = kind == "name" and node[1] in g.rules
+            self.symbols.append(node[1] if called else OPEN[node[1]] if kind == "group" else g.letter(node[1]))
+            self.call.append(called)
             self.follow.append(set())
-            return False, {p}, {p}
+            return called and g.nullable(node), {p}, {p}
         if kind == "alt":
             null, first, last = False, set(), set()
             for x in node[1]:
@@ -232,22 +234,87 @@ class Recogniser:
             null = null and n
         return null, first, last
 
-    def _move(self, state, c):
+
+class Recogniser:
+    """Recogniser of one level: a network of rule automata that call each other, made deterministic as it runs.
+
+    A configuration is the stack of places in the rules that led to the last token. As rules recurse through brackets
+    only, stacks are short; only configurations that texts really reach are ever made.
+    """
+
+    def __init__(self, grammar: Grammar, node):
+        self.grammar, self.root = grammar, _Rule(grammar, node)
+        self.rules: dict[str, _Rule] = {}
+        self.next: dict[tuple, tuple[dict[str, set], bool]] = {}
+        self.moves: dict = {}
+        self.ends: dict = {}
+
+    def _rule(self, name: str) -> _Rule:
+        if name not in self.rules:
+            self.rules[name] = _Rule(self.grammar, self.grammar.rules[name])
+        return self.rules[name]
+
+    def _after(self, config: tuple | None) -> tuple[dict[str, set], bool]:
+        """(class character -> configurations, whether the level may end) behind a configuration; None is the start."""
+        if config in self.next:
+            return self.next[config]
+        out: dict[str, set] = {}
+        seen: set = set()
+        done = False
+        work: list[tuple[bool, tuple, _Rule, int]] = []  # (entering?, callers, rule, place)
+
+        def leave(callers, rule, p):
+            nonlocal done
+            for q in rule.follow[p]:
+                work.append((True, callers, rule, q))
+            if p in rule.last:
+                if callers:
+                    work.append((False, callers[:-1], *callers[-1]))
+                else:
+                    done = True
+
+        if config is None:
+            done = self.root.null
+            work += [(True, (), self.root, p) for p in self.root.first]
+        else:
+            leave(config[0], config[1], config[2])
+        while work:
+            item = work.pop()
+            if item in seen:
+                continue
+            seen.add(item)
+            enter, callers, rule, p = item
+            if not enter:
+                leave(callers, rule, p)
+            elif not rule.call[p]:
+                out.setdefault(rule.symbols[p], set()).add((callers, rule, p))
+            else:
+                inner = self._rule(rule.symbols[p])
+                work += [(True, (*callers, (rule, p)), inner, q) for q in inner.first]
+                if inner.null:
+                    leave(callers, rule, p)
+        self.next[config] = (out, done)
+        return out, done
+
+    def _move(self, state: frozenset | None, c: str) -> frozenset:
         key = (state, c)
         if key not in self.moves:
-            into = self.start if state is None else frozenset().union(*(self.follow[p] for p in state))
-            self.moves[key] = frozenset(p for p in into if self.symbols[p] == c)
+            if len(self.moves) > 50_000:
+                self.moves.clear()
+                self.next.clear()
+            into: set = set()
+            for config in (None,) if state is None else state:
+                into |= self._after(config)[0].get(c, set())
+            self.moves[key] = frozenset(into)
         return self.moves[key]
 
     def accepts(self, s: str) -> bool:
-        if not s:
-            return self.accept_empty
         state = None
         for c in s:
             state = self._move(state, c)
             if not state:
                 return False
-        return bool(state & self.last)
+        return self._after(None)[1] if state is None else any(self._after(x)[1] for x in state)
 
 
 @lru_cache(maxsize=16)
