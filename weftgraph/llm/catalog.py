@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import quality, tokens
+from weftgraph.llm import quality, syntax, tokens
 from weftgraph.session import cut
 from weftgraph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken(table(spark, d, "file_sources"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "file_sources"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -28,7 +36,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose(stats, quality.sketches(stats)).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 ORACLE: dict[str, str] = {}
 
