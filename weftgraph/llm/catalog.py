@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import quality, syntax, tokens
+from weftgraph.llm import handwritten, quality, syntax, tokens
 from weftgraph.session import cut
 from weftgraph.sources.tables import table
 
@@ -21,6 +21,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "file_sources"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_sources"), table(spark, d, "upstream_files"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.shares(table(spark, d, "file_sources"), table(spark, d, "upstream_files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -36,7 +44,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose(stats, quality.sketches(stats)).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 ORACLE: dict[str, str] = {}
 
