@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import handwritten, quality, syntax, tokens
+from weftgraph.llm import docpairs, handwritten, quality, syntax, tokens
 from weftgraph.session import cut
-from weftgraph.sources.tables import table
+from weftgraph.sources.tables import live_entities, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,15 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.shares(table(spark, d, "file_sources"), table(spark, d, "upstream_files"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Function, signature, description and code of every documented function."""
+    return docpairs.pairs(live_entities(table(spark, d, "code_functions")), live_entities(table(spark, d, "code_classes")), table(spark, d, "file_sources"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("repo_id", "function_id").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -44,7 +53,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose(stats, quality.sketches(stats)).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 ORACLE: dict[str, str] = {}
 

@@ -104,7 +104,7 @@ def machine_made(source: str) -> bool:
     if n / lines > 60:
         body = _DOC.sub("", _COMMENT.sub("", source)).strip()
         lengths = [len(x) for x in body.split("\n") if x.strip()] or [0]
-        if sum(lengths) > 300 and (sum(lengths) / len(lengths) > 150 or max(lengths) > max(400, 0.3 * sum(lengths))):
+        if sum(lengths) > 300 and body.count(" ") < 0.12 * len(body) and (sum(lengths) / len(lengths) > 150 or max(lengths) > max(400, 0.3 * sum(lengths))):
             return True
     raw = source.encode("utf-8", "replace")
     digits = len(raw) - len(raw.translate(None, _DIGITS))

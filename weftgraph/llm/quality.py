@@ -28,7 +28,7 @@ _ANY = sorted({w for words in COMMON.values() for w in words.split()})
 #: A line that is an item of a list, a heading, a row, a path or a block mark rather than running text.
 LIST_MARK = r"^\s*(?:[-*+•–—·○▪►>#]+\s|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.):]\s|#{1,6}|\||[│├└╭╰─+=]{2}|@\w|:\w+)"
 #: Marks of code in a line.
-CODE_MARK = r"[{};]\s*$|^\s*(?://|/\*|\*/|\"\"\"|'''|#!|#\s.{60})|^\s*(?:import|from|package|use|pub|fn|func|def|class|struct|impl|return|const|let|var|if|for|while|switch|case|#include|#define|public|private|static|export|async|try|catch|else|elif|except|assert|print|void|int|namespace|interface|trait|type|enum|self|raise|with)\b.*[(){}\[\]=:;<]|[=!<>+]=|->|=>|::|\w\(\)|\w+\(\w*(?:, ?\w+)*\)\s*[;{]?\s*$"
+CODE_MARK = r"[{};]\s*$|^\s*(?://|/\*|\*/|\"\"\"|'''|#!|#\s.{60})|^\s*(?:import|from|package|use|pub|fn|func|def|class|struct|impl|return|const|let|var|if|for|while|switch|case|#include|#define|public|private|static|export|async|try|catch|else|elif|except|assert|print|void|int|namespace|interface|trait|type|enum|self|raise|with)\b.*[(){}\[\]=:;<]|[=!<>+]=|->|=>|::|\w\(\)|\w+\(\w*+(?:, ?\w++)*+\)\s*[;{]?\s*$"
 
 
 def _count(col: Column, pattern: str) -> Column:
@@ -71,7 +71,7 @@ def _judged(x: Column) -> Column:
 def lines_of(text: Column) -> Column:
     """Trimmed, non-empty lines without markup tags; a quote mark at the start of a mail line is no list mark."""
     bare = F.regexp_replace(F.regexp_replace(text, r"</(?:p|div|li|h\d|td|tr)>|<br ?/?>", "\n"), r"</?[a-zA-Z][^<>\n]{0,80}>|﻿|​", "")
-    bare = F.regexp_replace(bare, r"(?m)^[ \t]*(?:>[ \t]?)+|`[^`\n]{0,60}`|\[([^\]\n]{0,80})\]\([^)\s]{0,120}\)", "$1")
+    bare = F.regexp_replace(bare, r"(?m)^[ \t]*(?:>[ \t]?)++|`[^`\n]{0,60}`|\[([^\]\n]{0,80})\]\([^)\s]{0,120}\)", "$1")
     return F.filter(F.transform(F.split(bare, r"\r\n|[\r\n \x85]"), F.trim), lambda x: F.length(x) > 0)
 
 
