@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import docpairs, handwritten, quality, syntax, tokens
+from weftgraph.llm import docpairs, handwritten, mixture, quality, syntax, tokens
 from weftgraph.session import cut
 from weftgraph.sources.tables import live_entities, table
 
@@ -42,6 +42,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a text in the mixture, with the slot of its block."""
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of every document with percentiles, robust z-scores and the number of tails."""
     stats = cut(quality.statistics(table(spark, d, "documents")))
@@ -53,7 +62,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose(stats, quality.sketches(stats)).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 ORACLE: dict[str, str] = {}
 
