@@ -201,8 +201,12 @@ Prop := DOTS E | PName (':' E)? ('=' E)? | ('async')? BIN? (ID)? PName TPARAMS '
 FAT0 := FAT ('{' Block '}' | Un* Prim1 Post*)
 Prim1 := ID | NUM | STR | '(' (E (',' E)*) ')' | '(' Params? ')' FAT | '[' ((Arg? ',')* Arg?) ']' | Fn | 'of'
 Post := '.' Name | OPT (Name | '(' Args? ')' | '[' E ']') | '(' Args? ')' | '[' E (',' E)* ']' | INC | STR POSTX
-Bin := BIN | PM | '<' | '>' | '>' '=' | '?' | ':' | '=' | ASG | 'in' | 'instanceof' BINX
-E := Un* Prim0 Post* (Bin Un* Prim0 Post* | FAT ('{' Block '}' | Un* Prim0 Post*) ETYPE)*
+Bin := BIN | PM | '<' | '>' | '>' '=' | '=' | ASG | 'in' | 'instanceof' BINX
+Opd := Un* Prim0 Post*
+FatB := FAT ('{' Block '}' | Opd)
+Tern0 := '?' Opd (Bin Opd | FatB)* ':' Opd
+Tern := '?' Opd (Bin Opd | FatB | Tern0)* ':' Opd
+E := Opd (Bin Opd | Tern | FAT ('{' Block '}' | Un* Prim0 Post*) ETYPE)*
 Es := E (',' E)*
 Block := Stmt* Last?
 Last := Pre* (Es | VarDecl | ('return' | 'throw') Es? | 'break' ID? | 'continue' ID?)
