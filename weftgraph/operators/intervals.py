@@ -31,15 +31,14 @@ def block_of(seq: str) -> Column:
 
 
 def islands(records: DataFrame, seq: str, done: Column) -> DataFrame:
-    """Ledger of the records for which ``done`` holds: maximal runs, in sequence order, without an unprocessed record of the
-    same repository between them."""
+    """Ledger of the records for which ``done`` holds: maximal runs of consecutive sequence numbers.
+
+    A number that no record of the repository has ends a run, as a record with it may still arrive.
+    """
     r = records.filter(F.col(seq).isNotNull()).select("repo_id", block_of(seq).alias("block"), F.col(seq).alias("seq"), F.coalesce(done, F.lit(False)).alias("done"))
-    gaps = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(Window.partitionBy("repo_id", "block").orderBy("seq"))
-    return (
-        r.groupBy("repo_id", "block", "seq").agg(F.min("done").alias("done"))
-        .withColumn("gap", gaps).filter("done")
-        .groupBy("repo_id", "block", "gap").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).select("repo_id", "block", "lo", "hi")
-    )
+    r = r.groupBy("repo_id", "block", "seq").agg(F.min("done").alias("done")).filter("done")
+    run = F.col("seq") - F.row_number().over(Window.partitionBy("repo_id", "block").orderBy("seq"))
+    return r.withColumn("run", run).groupBy("repo_id", "block", "run").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).select("repo_id", "block", "lo", "hi")
 
 
 def mark(records: DataFrame, ledger: DataFrame, seq: str) -> DataFrame:
