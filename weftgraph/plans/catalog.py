@@ -130,7 +130,7 @@ QUERIES: dict[str, Query] = {
     "language_histogram": _graph(q.language_histogram),
     "classes_many_methods": _graph(q.classes_with_many_methods, more_than=3),
     "implementations": _graph(q.implementations),
-    "staleness": _graph(q.staleness, now=F.lit("2025-07-01 00:00:00")),
+    "staleness": lambda s, d: q.staleness(load_graph(s, d), now=F.lit("2025-07-01 00:00:00")),
     "resources": _graph(q.resources),
     "edge_upsert": lambda s, d: load_graph(s, d).edges.select("repo_id", "rel_type", "src_id", "dst_id", "rel_id"),
     "merge_last_wins": lambda s, d: live_entities(table(s, d, "code_functions").select("repo_id", "id", "name", "signature", "complexity", "parsed_at", "deleted_at")).drop("parsed_at"),
