@@ -54,6 +54,17 @@ def test_pairs(spark):
     assert [r.code for r in docpairs.pairs(f, c, s.limit(0)).collect()] == [None]
 
 
+def test_spans_of_whole_functions(spark):
+    java = "class A {\n    int f(int x) {\n        if (x > 1) {\n            x--;\n        }\n        while (x < 9) {\n            x++;\n        }\n        for (int a : b) {\n            g(a);\n        }\n        switch (x) {\n            default: x = 1;\n        }\n        return x;\n    }\n}\n"
+    cpp = "int h(int a);\n\nvoid f(int a)\n{\n    run();\n}\n\nint g()\n{\n    do {\n        x();\n    } while (y);\n    return 1;\n}\n"
+    py = "def f(x):\n    def g(y):\n        return y\n    return g(x)\n\nz = 1\n"
+    js = "function f(x) {\n  function g(y) {\n    return y;\n  }\n  return g(x);\n}\n"
+    rust = "fn a() -> i32 { 1 }\nfn b(x: i32) -> i32 {\n    x\n}\n"
+    s = spark.createDataFrame([("r", p, t) for p, t in [("A.java", java), ("b.cpp", cpp), ("c.py", py), ("d.js", js), ("e.rs", rust)]], "repo_id string, path string, source string")
+    got = {(r.path, r.name): (r.start_line, r.end_line) for r in docpairs.spans(s).collect()}
+    assert got == {("A.java", "f"): (2, 16), ("b.cpp", "f"): (3, 6), ("b.cpp", "g"): (8, 14), ("c.py", "f"): (1, 4), ("c.py", "g"): (2, 3), ("d.js", "f"): (1, 6), ("d.js", "g"): (2, 4), ("e.rs", "a"): (1, 1), ("e.rs", "b"): (2, 4)}
+
+
 def test_mixture_caps_repeats(spark):
     docs = spark.createDataFrame([(i, "A b" if i % 3 else " a_B", "some words here " * 50) for i in range(60)] + [(100, "small", "few words " * 30), (101, None, "x"), (102, "small", None)], "doc_id bigint, source string, text string")
     t = spark.createDataFrame([("a_b", 0.9, 1), ("small", 0.1, 3), ("none", 0.2, 4)], "source string, target_share double, max_repeats int")

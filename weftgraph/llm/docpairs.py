@@ -2,8 +2,8 @@
 
 Sources are exploded into one row per line with its lexical facts (braces outside of strings and comments, indentation,
 comment or code, name of a function that starts here). Windows over a file's rows give the brace depth, the end of each
-function (the next line on which the depth, or for Python the indentation, is back where it was), and the island of lines
-that belong to it; lag windows attach the run of comment lines above. Functions of the records are joined to these spans
+function (the next line on which the depth, or for Python the indentation, is back where it was, so that functions inside
+of functions end on their own); its code is cut out of the source. Islands of comment lines are attached to the header below. Functions of the records are joined to these spans
 by path and name; a function whose source is missing keeps its record's signature and docstring with a null code.
 
 A docstring says something if, after comment marks, tags, directives, licence lines and code are taken off, a sentence
@@ -111,7 +111,7 @@ _HEADERS = {
     "go": r"^func\s*(?:\([^)]*\)\s*)?(\w+)",
     "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe)\s+)*fn\s+(\w+)",
     "script": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*|(?:(?:public|private|protected|static|async|readonly|override)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|with\b))(\w+)\s*(?:<[^(]*>)?\s*\([^;]*\)\s*(?::[^;{]+)?\{\s*$",
-    "brace": r"^\s*(?!(?:return|else|if|for|while|switch|catch|do|new|throw)\b)(?:[\w:<>,.\[\]&*~ ]+[ &*])(\w+)\s*\([^;]*\)\s*(?:const|override|noexcept|throws [\w., ]+|\s)*\{?\s*$",
+    "brace": r"^\s*+(?!(?:return|else|if|for|while|switch|catch|do|new|throw)\b)(?:[\w:<>,.\[\]&*~ ]+[ &*])(?!(?:return|if|for|while|switch|catch|do|new|throw|synchronized|sizeof)\b)(\w+)\s*\([^;]*\)\s*(?:const|override|noexcept|throws [\w., ]+|\s)*\{?\s*$",
 }
 
 
@@ -120,11 +120,20 @@ def _family(path: Column) -> Column:
     return F.when(ext.isin("py", "pyw"), "python").when(ext == "go", "go").when(ext == "rs", "rust").when(ext.isin("ts", "tsx", "js", "jsx"), "script").when(ext.isin("java", "c", "h", "cc", "cpp", "cxx", "hpp", "hxx"), "brace")
 
 
-def line_rows(files: DataFrame) -> DataFrame:
-    """One row per line: repo_id, path, line, text, comment (a comment or annotation line), depth before and after, name."""
+def _sources(files: DataFrame) -> DataFrame:
     f = files.select("repo_id", "path", "source").filter("source is not null and path is not null")
-    f = f.groupBy("repo_id", "path").agg(F.max("source").alias("source")).withColumn("family", _family(F.col("path"))).filter("family is not null")
-    r = f.select("repo_id", "path", "family", F.posexplode(F.split("source", r"\r?\n")).alias("line", "text"))
+    return f.groupBy("repo_id", "path").agg(F.max("source").alias("source"))
+
+
+def _lines(source: Column) -> Column:
+    return F.split(source, r"\r?\n")
+
+
+def line_rows(files: DataFrame) -> DataFrame:
+    """One row per line: repo_id, path, line, text, comment (a comment or annotation line), depth before and after, name,
+    opens (an opening brace in it), stops (a semicolon in it)."""
+    f = _sources(files).withColumn("family", _family(F.col("path"))).filter("family is not null")
+    r = f.select("repo_id", "path", "family", F.posexplode(_lines(F.col("source"))).alias("line", "text"))
     py = F.col("family") == "python"
     comment = F.when(py, F.col("text").rlike(r"^\s*[#@]")).otherwise(F.col("text").rlike(r"^\s*(?://|/?\*|@\w|#\[)"))
     bare = F.regexp_replace("text", r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'(?:\\.|[^'\\])'|`[^`]*+`|//.*$|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/", "")
@@ -134,6 +143,7 @@ def line_rows(files: DataFrame) -> DataFrame:
     for k, h in _HEADERS.items():
         name = F.when((F.col("family") == k) & (F.length("text") <= HEADER_LINE), F.nullif(F.regexp_extract("text", h, 1), F.lit(""))).otherwise(name)
     r = r.withColumn("comment", comment).withColumn("step", step).withColumn("name", F.when(~comment, name))
+    r = r.withColumn("opens", ~comment & bare.contains("{")).withColumn("stops", ~comment & bare.contains(";"))
     w = Window.partitionBy("repo_id", "path").orderBy("line")
     indent = F.length(F.regexp_extract("text", r"^[ \t]*", 0))
     blank = F.trim("text") == ""
@@ -146,23 +156,30 @@ def spans(files: DataFrame) -> DataFrame:
     """(repo_id, path, name, start_line, end_line, comment, code): functions as the lines delimit them."""
     r = line_rows(files)
     file = ["repo_id", "path"]
-    w = Window.partitionBy(*file).orderBy("line")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    # the function a line lies in: the last header, as long as no later line closed it
-    r = r.withColumn("head", F.last(F.when(F.col("name").isNotNull(), F.struct("line", "before", "name")), ignorenulls=True).over(so_far)).filter("head is not null or comment")
-    inner = F.col("line") > F.col("head.line")
-    py = F.col("family") == "python"
-    closes = inner & F.when(py, F.col("after") <= F.col("head.before")).otherwise((F.col("after") <= F.col("head.before")))
-    by_head = Window.partitionBy(*file, "head.line").orderBy("line")
-    # lines behind the first closing line are outside; the closing brace itself is inside, a Python line of less indent is not
-    r = r.withColumn("shut", F.sum(F.when(closes, 1).otherwise(0)).over(by_head))
-    inside = F.col("head").isNotNull() & F.when(py, F.col("shut") == 0).otherwise((F.col("shut") == 0) | ((F.col("shut") == 1) & closes))
-    # comment lines right above a header: islands of comment lines, handed over by lag
+    py, blank = F.col("family") == "python", F.trim("text") == ""
+    # open heads are a stack by level: a line ends those between its level and the level before it. A semicolon ends a head without a body.
+    seen = Window.partitionBy(*file).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("prior", F.last(F.when(~blank, F.struct("line", "before")), ignorenulls=True).over(seen))
+    top = F.when(py, F.when(~blank, F.least(F.col("prior.before"), F.lit(HEADER_LINE)))).when((F.col("after") < F.col("before")) | F.col("stops"), F.col("before"))
+    low = F.when(py, F.col("before")).otherwise(F.col("after")).cast("bigint")
+    level = F.explode(F.sequence(low, top.cast("bigint"), F.lit(1).cast("bigint"))).alias("level")
+    ends = r.filter(top.isNotNull() & (low <= top)).select(*file, "line", F.lit(None).cast("string").alias("name"), F.when(py, F.col("prior.line")).otherwise(F.col("line")).alias("end"), level)
+    # the whole function on the line of its header
+    alone = ~py & (F.col("after") <= F.col("before")) & (F.col("opens") | F.col("stops"))
+    heads = r.filter("name is not null").select(*file, "line", "name", F.when(alone, F.col("line")).alias("end"), F.col("before").cast("bigint").alias("level"))
+    later = Window.partitionBy(*file, "level").orderBy("line", F.col("name").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    ended = heads.unionByName(ends).withColumn("shut", F.first(F.when(F.col("name").isNull(), F.col("end")), ignorenulls=True).over(later))
+    found = ended.filter("name is not null").select(*file, "name", F.col("line").alias("head"), F.coalesce("end", "shut").alias("end"))
+    # comment lines right above a header: islands of comment lines
     island = F.col("line") - F.row_number().over(Window.partitionBy(*file, "comment").orderBy("line"))
     above = r.filter("comment").withColumn("island", island).groupBy(*file, "island").agg(F.max("line").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("comment"))
-    code = r.filter(inside).groupBy(*file, F.col("head.line").alias("head"), F.col("head.name").alias("name")).agg(F.max(F.when(F.trim("text") != "", F.col("line"))).alias("end"), F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n"), r"\s+$", "").alias("code"))
-    both = code.withColumn("last", F.col("head") - 1).join(above.select(*file, "last", "comment"), [*file, "last"], "left")
-    return both.select(*file, "name", (F.col("head") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"), "comment", "code")
+    both = found.withColumn("last", F.col("head") - 1).join(above.select(*file, "last", "comment"), [*file, "last"], "left")
+    # a file's source is split once for all of its functions
+    by_file = both.groupBy(*file).agg(F.collect_list(F.struct("name", "head", "end", "comment")).alias("found"))
+    cut = by_file.join(_sources(files), file).withColumn("lines", _lines(F.col("source")))
+    text = lambda x: F.regexp_replace(F.array_join(F.slice("lines", x["head"] + 1, F.coalesce(x["end"] + 1, F.size("lines")) - x["head"]), "\n"), r"\s+$", "")
+    cut = cut.select(*file, F.explode(F.transform("found", lambda x: F.struct(x["name"].alias("name"), x["head"].alias("head"), x["comment"].alias("comment"), text(x).alias("code")))).alias("x"))
+    return cut.select(*file, "x.name", (F.col("x.head") + 1).alias("start_line"), (F.col("x.head") + F.size(F.split("x.code", "\n"))).alias("end_line"), "x.comment", "x.code")
 
 
 def documented(functions: DataFrame, classes: DataFrame) -> DataFrame:
