@@ -31,6 +31,13 @@ def test_broken_sources(spark):
     assert {r.path for r in syntax.broken(d).collect()} == {p for p, _ in bad}
 
 
+def test_groups_are_judged_where_they_stand(spark):
+    good = [("a.rs", "m! { let = => 3 let }\n#[cfg(any(x = \"a\", y))]\nfn f(v: Vec<u8>) -> u8 {\n    if v.len() > 1 { g(1, &v)?; }\n    match v[0] { 1 | 2 => 3, _ => h!(let let) }\n}\n"), ("b.java", "class A { int f() { if (a) { return 1; } while (b) { c(); } } }"), ("c.c", "int f(void) { if (a) { return 1; } g(); }")]
+    bad = [("d.rs", "fn f() { let = = 3 let }"), ("e.rs", "fn f() { g(fn fn); }"), ("f.rs", "fn f(let x) {}"), ("g.rs", "fn f() { { { let x = [while 3]; } } }"), ("h.java", "class A { int f() { if () { return 1; } } }"), ("i.java", "class A { int f() { while () { } } }"), ("j.java", "class A { return 1; }"), ("k.js", "if () { f(); }"), ("l.c", "int f(void) { while () { } }")]
+    d = spark.createDataFrame([("r", p, s) for p, s in good + bad], "repo_id string, path string, source string")
+    assert {r.path for r in syntax.broken(d).collect()} == {p for p, _ in bad}
+
+
 def test_handwritten(spark):
     ref = "\n".join(f"int name{i}(int value{i}) {{ return other{i} + {i}; }}" for i in range(40))
     d = [("vendor/a.c", "int x;"), ("b.js", "// Code generated by x 1.0. DO NOT EDIT.\nf();"), ("c.py", "x = '// @generated'\n"), ("d.py", "# Not generated code, although tools reads it\nx = 1\n"), ("e.c", ref + "\nint more;"), ("src/vendors/f.py", "x = 1"), ("g.min.js", "f()"), ("h.py", "D = [\n" + "1, 22, 333,\n" * 60 + "]\n"), ("i.py", None)]

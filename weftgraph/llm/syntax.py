@@ -3,11 +3,10 @@
 1. Lex: every file becomes a string of token classes and its set of adjacent pairs (one pass per file, no shuffle).
 2. Pairs: the exploded pairs are anti-joined with the pairs that the language's grammar permits (a few thousand rows per
    language, fixed by the grammars, so they are broadcast).
-3. Nesting: the classes are cut at brackets and exploded to rows. Windows give the depth of every row, pair each bracket
-   with its partner by level, and number the groups of a level; unpaired or crossed brackets are errors.
-4. Productions: the rows of a group are put together again, nested groups as one character, and each level must be
-   accepted by the grammar's recogniser for that kind of bracket. Innermost groups of plain lists, which every grammar
-   accepts, are reduced before exploding.
+3. Nesting: the classes are cut at brackets and exploded to rows. Windows give the depth of every row and pair each bracket
+   with its partner by level; unpaired or crossed brackets are errors. Innermost plain groups are reduced before exploding.
+4. Productions: each file's classes must be accepted by the grammar's recogniser, which judges a group by the productions
+   that may open it where it stands (one pass per file, no shuffle).
 
 The suffix of the path decides the language. Files with another suffix, null paths and null sources are not judged; an
 empty file and one of comments only are valid; repeated rows count once. A file is lexed in one piece, so a file is bounded
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.parse.grammar import grammar, levels
+from weftgraph.parse.grammar import grammar, recogniser
 from weftgraph.parse.lexers import ERROR, SUFFIXES, lex
 from weftgraph.parse.rules import RULES
 from weftgraph.session import scratch
@@ -69,7 +68,7 @@ def wrong_pairs(tokens: DataFrame) -> DataFrame:
 
 
 def reduced(codes: Column) -> Column:
-    """Innermost plain groups as one character: every grammar accepts lists of names, numbers and strings there."""
+    """Innermost plain groups as one character: their brackets pair."""
     c = F.regexp_replace(codes, r"\((?:[ins](?:,[ins])*+)?\)", "P")
     return F.regexp_replace(F.regexp_replace(c, r"\[[ins]?\]", "B"), r"\{\}", "C")
 
@@ -93,40 +92,21 @@ def wrong_nesting(rows: DataFrame) -> DataFrame:
     return b.select(*KEY, good.alias("good")).filter(~F.col("good")).select(*KEY)
 
 
-def level_strings(rows: DataFrame) -> DataFrame:
-    """(key, lang, kind, level): the tokens of each group in order; kind is its opening bracket, '' for the text itself."""
-    w = Window.partitionBy(*KEY, "depth").orderBy("pos")
-    r = rows.withColumn("group", F.max(F.when(F.col("opens") > 0, F.col("pos"))).over(w))
-    g = r.groupBy(*KEY, "lang", "depth", "group").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["piece"]), "")
-    opened = F.col("group").isNotNull()
-    return g.select(
-        *KEY, "lang", F.when(opened, F.substring(text, 1, 1)).otherwise("").alias("kind"), F.translate(F.when(opened, F.expr("substring(array_join(transform(p, x -> x.piece), ''), 2)")).otherwise(text), "PBC", ")]}").alias("level")
-    )
-
-
-def wrong_levels(strings: DataFrame) -> DataFrame:
-    """Keys of files with a level that its recogniser does not accept."""
+def wrong_levels(tokens: DataFrame) -> DataFrame:
+    """Keys of files whose text or one of whose groups no production accepts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, str, str], bool] = {}
         for b in batches:
-            good = []
-            for k in zip(b["lang"], b["kind"], b["level"], strict=True):
-                if (v := known.get(k)) is None:
-                    v = known[k] = levels(k[0])[k[1]].accepts(k[2])
-                good.append(v)
-            if len(known) > 200_000:
-                known.clear()
+            good = [recogniser(lang).accepts(codes) for lang, codes in zip(b["lang"], b["codes"], strict=True)]
             yield b.loc[[not g for g in good], KEY]
 
-    return strings.mapInPandas(run, "h1 bigint, h2 bigint")
+    return tokens.select(*KEY, "lang", "codes").mapInPandas(run, "h1 bigint, h2 bigint")
 
 
 def broken_keys(tokens: DataFrame) -> DataFrame:
-    rows = bracket_rows(tokens.filter(~F.col("error")))
+    clean = tokens.filter(~F.col("error"))
     return (
-        tokens.filter("error").select(*KEY).unionByName(wrong_pairs(tokens)).unionByName(wrong_nesting(rows)).unionByName(wrong_levels(level_strings(rows))).distinct()
+        tokens.filter("error").select(*KEY).unionByName(wrong_pairs(tokens)).unionByName(wrong_nesting(bracket_rows(clean))).unionByName(wrong_levels(clean)).distinct()
     )
 
 

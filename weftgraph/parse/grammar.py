@@ -1,13 +1,14 @@
-"""Grammars over token classes: permissible adjacent pairs and recognisers of bracket levels.
+"""Grammars over token classes: permissible adjacent pairs and recognisers of nested texts.
 
 A grammar is a set of rules ``Name := expression`` whose expressions use quoted or named terminals, other rules,
 ``( ) | * + ?`` and bracket groups ``'(' X ')'``. Rules may recurse through bracket groups only. From that follow
 
 * ``pairs``: every pair of tokens that may stand side by side (with ``^`` before and ``$`` behind the text), from the first
   and last sets of the parts;
-* ``levels``: one recogniser for the text itself and one for the content of each kind of bracket; inside a level a nested
-  group is the single character of its closing bracket, so each level is a regular language. Recognisers are position
-  automata, determinised as they run.
+* ``recogniser``: one automaton for the text itself and one for each content that a group has in the rules. A group is
+  judged by the contents of the productions that may open it where it stands, and only those that accept it go on. As
+  recursion goes through groups only, each level is a regular language. Recognisers are position automata, determinised
+  as they run.
 """
 
 from __future__ import annotations
@@ -80,6 +81,9 @@ class Grammar:
             self.rules[name.strip()] = _Parser(body).alt()
         self.top = top
         self._cache: dict = {}
+        self.contents: list = [("opt", ("name", top))]
+        self._numbers: dict[int, int] = {}
+        self._same: dict[str, int] = {}
 
     def letter(self, name: str) -> str:
         return self.letters[name]
@@ -161,44 +165,39 @@ class Grammar:
         out.add("^$")  # an empty file and one of comments only are valid everywhere
         return out
 
-    def contents(self, bracket: str) -> list:
-        """All contents that groups of this bracket have in the rules."""
-        out: list = []
-        seen: set[str] = set()
+    def content(self, node) -> int:
+        """The number of a group's content; equal contents have one number. 0 is the text itself."""
+        if id(node) not in self._numbers:
+            self._numbers[id(node)] = n = self._same.setdefault(repr(node), len(self.contents))
+            if n == len(self.contents):
+                self.contents.append(node)
+        return self._numbers[id(node)]
+
+    def inside(self, bracket: str) -> list[int]:
+        """The contents that groups of this bracket have in the rules."""
+        out: dict[int, None] = {}
 
         def walk(node):
-            if node[0] == "name" and node[1] in self.rules:
-                if node[1] not in seen:
-                    seen.add(node[1])
-                    walk(self.rules[node[1]])
-            elif node[0] in ("alt", "seq"):
+            if node[0] in ("alt", "seq"):
                 for x in node[1]:
                     walk(x)
             elif node[0] in ("opt", "star"):
                 walk(node[1])
             elif node[0] == "group":
                 if node[1] == bracket:
-                    out.append(node[2])
+                    out[self.content(node[2])] = None
                 walk(node[2])
 
-        walk(("name", self.top))
-        return out
-
-    @property
-    def levels(self) -> dict[str, Recogniser]:
-        """'' -> recogniser of the text, '(' '[' '{' -> recogniser of a group's content."""
-        r = {"": Recogniser(self, ("opt", ("name", self.top)))}
-        for b in OPEN:
-            found = list({repr(x): x for x in self.contents(b)}.values())
-            r[b] = Recogniser(self, ("alt", found) if found else ("seq", []))
-        return r
+        for rule in self.rules.values():
+            walk(rule)
+        return list(out)
 
 
 class _Rule:
-    """Position automaton of one rule; a symbol is a class character or the name of another rule."""
+    """Position automaton of one rule; a symbol is a class character, the name of another rule, or (bracket, content) of a group."""
 
     def __init__(self, g: Grammar, node):
-        self.symbols: list[str] = []
+        self.symbols: list = []
         self.call: list[bool] = []
         self.follow: list[set[int]] = []
         self.null, self.first, self.last = self._build(g, node)
@@ -208,7 +207,7 @@ class _Rule:
         if kind in ("lit", "name", "group"):
             p = len(self.symbols)
             called = kind == "name" and node[1] in g.rules
-            self.symbols.append(node[1] if called else OPEN[node[1]] if kind == "group" else g.letter(node[1]))
+            self.symbols.append(node[1] if called else (node[1], g.content(node[2])) if kind == "group" else g.letter(node[1]))
             self.call.append(called)
             self.follow.append(set())
             return called and g.nullable(node), {p}, {p}
@@ -235,30 +234,51 @@ class _Rule:
         return null, first, last
 
 
+class _State:
+    """Configurations that a part of a level leads to: their moves by class character, and by the contents of a group."""
+
+    def __init__(self, configs: frozenset, moves: dict, done: bool):
+        self.configs, self.moves, self.done = configs, moves, done
+        self.inside: dict[str, list[int]] = {}
+        for s in moves:
+            if isinstance(s, tuple):
+                self.inside.setdefault(s[0], []).append(s[1])
+        self.runs: dict = {}
+
+
 class Recogniser:
-    """Recogniser of one level: a network of rule automata that call each other, made deterministic as it runs.
+    """Recogniser of a text with its groups: a network of rule automata that call each other, made deterministic as it runs.
 
     A configuration is the stack of places in the rules that led to the last token. As rules recurse through brackets
     only, stacks are short; only configurations that texts really reach are ever made.
     """
 
-    def __init__(self, grammar: Grammar, node):
-        self.grammar, self.root = grammar, _Rule(grammar, node)
+    #: States, and judged short groups, that are kept.
+    STATES, GROUPS = 20_000, 200_000
+
+    def __init__(self, grammar: Grammar):
+        self.grammar = grammar
+        self.parts = re.compile("[" + re.escape("".join([*OPEN, *OPEN.values()])) + "]|[^" + re.escape("".join([*OPEN, *OPEN.values()])) + "]+")
         self.rules: dict[str, _Rule] = {}
-        self.next: dict[tuple, tuple[dict[str, set], bool]] = {}
-        self.moves: dict = {}
-        self.ends: dict = {}
+        self.roots: dict[int, _Rule] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.next: dict = {}
+        self.states: dict[frozenset, _State] = {}
+        self.starts: dict[int, _State] = {}
+        self.known: dict[tuple[int, str], bool] = {}
 
     def _rule(self, name: str) -> _Rule:
         if name not in self.rules:
             self.rules[name] = _Rule(self.grammar, self.grammar.rules[name])
         return self.rules[name]
 
-    def _after(self, config: tuple | None) -> tuple[dict[str, set], bool]:
-        """(class character -> configurations, whether the level may end) behind a configuration; None is the start."""
+    def _after(self, config: tuple | int) -> tuple[dict, bool]:
+        """(symbol -> configurations, whether the level may end) behind a configuration; a number is the start of a content."""
         if config in self.next:
             return self.next[config]
-        out: dict[str, set] = {}
+        out: dict = {}
         seen: set = set()
         done = False
         work: list[tuple[bool, tuple, _Rule, int]] = []  # (entering?, callers, rule, place)
@@ -273,9 +293,12 @@ class Recogniser:
                 else:
                     done = True
 
-        if config is None:
-            done = self.root.null
-            work += [(True, (), self.root, p) for p in self.root.first]
+        if isinstance(config, int):
+            if config not in self.roots:
+                self.roots[config] = _Rule(self.grammar, self.grammar.contents[config])
+            root = self.roots[config]
+            done = root.null
+            work += [(True, (), root, p) for p in root.first]
         else:
             leave(config[0], config[1], config[2])
         while work:
@@ -296,25 +319,93 @@ class Recogniser:
         self.next[config] = (out, done)
         return out, done
 
-    def _move(self, state: frozenset | None, c: str) -> frozenset:
-        key = (state, c)
-        if key not in self.moves:
-            if len(self.moves) > 50_000:
-                self.moves.clear()
-                self.next.clear()
-            into: set = set()
-            for config in (None,) if state is None else state:
-                into |= self._after(config)[0].get(c, set())
-            self.moves[key] = frozenset(into)
-        return self.moves[key]
-
-    def accepts(self, s: str) -> bool:
-        state = None
-        for c in s:
-            state = self._move(state, c)
-            if not state:
-                return False
-        return self._after(None)[1] if state is None else any(self._after(x)[1] for x in state)
+    def _state(self, configs: frozenset) -> _State:
+        if configs not in self.states:
+            moves: dict = {}
+            done = False
+            for x in configs:
+                out, end = self._after(x)
+                done = done or end
+                for s, to in out.items():
+                    moves.setdefault(s, set()).update(to)
+            self.states[configs] = _State(configs, moves, done)
+        return self.states[configs]
+
+    def _start(self, content: int) -> _State:
+        if content not in self.starts:
+            self.starts[content] = self._state(frozenset([content]))
+        return self.starts[content]
+
+    def _run(self, state: _State, part: str | tuple) -> _State | None:
+        """Behind tokens without brackets, or behind a group that has the given (bracket, content)s."""
+        if part not in state.runs:
+            to: _State | None = state
+            if isinstance(part, tuple):
+                to = self._state(frozenset().union(*(state.moves[s] for s in part))) if part else None
+            elif len(part) == 1:
+                to = self._state(frozenset(state.moves[part])) if part in state.moves else None
+            else:
+                for c in part:
+                    if (to := self._run(to, c)) is None:
+                        break
+            state.runs[part] = to
+        return state.runs[part]
+
+    def _partners(self, parts: list[str]) -> list[int] | None:
+        """For each opening bracket the place of its partner, else -1; None if the brackets do not pair."""
+        at, opened = [-1] * len(parts), []
+        closing = set(OPEN.values())
+        for i, p in enumerate(parts):
+            if p in OPEN:
+                opened.append(i)
+            elif p in closing:
+                if not opened or OPEN[parts[opened[-1]]] != p:
+                    return None
+                at[opened.pop()] = i
+        return None if opened else at
+
+    def accepts(self, s: str, content: int = 0) -> bool:
+        """Whether s is a text of the language, or another content of the grammar."""
+        if len(self.states) > self.STATES or len(self.known) > self.GROUPS:
+            self.clear()
+        parts = self.parts.findall(s)
+        partner = self._partners(parts)
+        if partner is None:
+            return False
+        here: dict[tuple[int, int], bool] = {}  # (content, place of the bracket) -> accepted
+        work: list[list] = [[(content, -1), 0, len(parts), self._start(content)]]
+        while work:
+            frame = work[-1]
+            key, i, end, state = frame
+            good: bool | None = None
+            while i < end:
+                j = partner[i]
+                if j < 0:
+                    state, i = self._run(state, parts[i]), i + 1
+                else:
+                    text = "".join(parts[i : j + 1]) if j - i <= 12 else None
+                    kept, asked = [], None
+                    for c in state.inside.get(parts[i], ()):
+                        known = here.get((c, i)) if text is None else self.known.get((c, text))
+                        if known is None:
+                            asked = c
+                            break
+                        if known:
+                            kept.append((parts[i], c))
+                    if asked is not None:
+                        frame[1:] = i, end, state
+                        work.append([(asked, i if text is None else text), i + 1, j, self._start(asked)])
+                        break
+                    state, i = self._run(state, tuple(kept)), j + 1
+                if state is None:
+                    good = False
+                    break
+            else:
+                good = state.done
+            if good is not None:
+                (here if isinstance(key[1], int) else self.known)[key] = good
+                work.pop()
+        return here[(content, -1)]
 
 
 @lru_cache(maxsize=16)
@@ -325,5 +416,21 @@ def grammar(lang: str) -> Grammar:
 
 
 @lru_cache(maxsize=16)
-def levels(lang: str) -> dict[str, Recogniser]:
-    return grammar(lang).levels
+def recogniser(lang: str) -> Recogniser:
+    return Recogniser(grammar(lang))
+
+
+class _Level:
+    """Accepts what some group of a bracket may hold."""
+
+    def __init__(self, lang: str, bracket: str):
+        self.recogniser, self.contents = recogniser(lang), grammar(lang).inside(bracket)
+
+    def accepts(self, s: str) -> bool:
+        return any(self.recogniser.accepts(s, c) for c in self.contents)
+
+
+@lru_cache(maxsize=16)
+def levels(lang: str) -> dict[str, _Level]:
+    """For each opening bracket what its groups may hold somewhere in a text."""
+    return {b: _Level(lang, b) for b in OPEN}
