@@ -38,6 +38,13 @@ def test_groups_are_judged_where_they_stand(spark):
     assert {r.path for r in syntax.broken(d).collect()} == {p for p, _ in bad}
 
 
+def test_python_compound_statements(spark):
+    whole = ["try:\n    f()\nexcept A as e:\n    g()\nexcept:\n    pass\nelse:\n    h()\nfinally:\n    i()\n", "try: f()\nfinally: g()\n", "if a:\n    b()\nelif c:\n    if d: e()\n    else: g()\nelse:\n    for x in y:\n        pass\n    else:\n        f()\n", "@d\n@e(1)\nasync def f():\n    pass\n", "match a:\n    case [x, y] if x:\n        pass\n    case _:\n        pass\n", "class A:\n\n    def f(self):\n        try:\n            return 1\n        except* B:\n            raise\n# end\n"]
+    cut = ["def f():\n    try:\n        g()\n", "try:\n    g()\nh()\n", "except A:\n    pass\n", "x = 1\nelse:\n    y()\n", "if a:\n    b()\nelse:\n    c()\nelif d:\n    e()\n", "try:\n    f()\nelse:\n    g()\n", "try:\n    f()\nexcept:\n    g()\nexcept A:\n    h()\n", "finally:\n    f()\n", "@d\nx = 1\n", "def f():\n    if a:\n        b()\n  c()\n"]
+    d = spark.createDataFrame([("r", f"{k}{i}.py", s) for k, ss in (("whole", whole), ("cut", cut)) for i, s in enumerate(ss)], "repo_id string, path string, source string")
+    assert {r.path for r in syntax.broken(d).collect()} == {f"cut{i}.py" for i in range(len(cut))}
+
+
 def test_handwritten(spark):
     ref = "\n".join(f"int name{i}(int value{i}) {{ return other{i} + {i}; }}" for i in range(40))
     d = [("vendor/a.c", "int x;"), ("b.js", "// Code generated by x 1.0. DO NOT EDIT.\nf();"), ("c.py", "x = '// @generated'\n"), ("d.py", "# Not generated code, although tools reads it\nx = 1\n"), ("e.c", ref + "\nint more;"), ("src/vendors/f.py", "x = 1"), ("g.min.js", "f()"), ("h.py", "D = [\n" + "1, 22, 333,\n" * 60 + "]\n"), ("i.py", None)]

@@ -18,7 +18,8 @@ from functools import lru_cache
 
 from weftgraph.parse.lexers import alphabet
 
-OPEN = {"(": ")", "[": "]", "{": "}"}
+#: Brackets; the indented lines of a Python suite are a group as well.
+OPEN = {"(": ")", "[": "]", "{": "}", "I": "D"}
 
 
 class _Parser:

@@ -1,4 +1,5 @@
-"""Grammar rules per language, over the token classes of the lexers. Recursion goes through bracket groups only.
+"""Grammar rules per language, over the token classes of the lexers. Recursion goes through bracket groups only,
+and in Python through the indented lines of suites.
 
 They accept somewhat more than the languages: precedence, types and names do not matter, and in types what stands between
 angle brackets is a free mix of type words. What a valid file of the language can hold is accepted.
@@ -334,9 +335,9 @@ _CPP = _CPP.replace(" | 'static_assert0'", "").replace("RESTRICT ", "")
 _CC = _CC.replace("RESTRICT ", "")
 
 _PYTHON = """
-Top := (Line)*
+Top := (Line | NEWLINE)*
 Line := Stmt NEWLINE | Comp
-Suite := Stmt NEWLINE | NEWLINE 'INDENT' | NEWLINE INDENT
+Suite := Stmt NEWLINE | NEWLINE 'I' Line+ 'D'
 Stmt := Small (';' Small)* ';'?
 Small := Es (('=' (Es | Yield))+ | ASG (Es | Yield) | ':' E ('=' (Es | Yield))?)? | Yield | 'pass' | 'break' | 'continue' | 'return' Es? | 'raise' (E ('from' E)?)? | ('global' | 'nonlocal') ID (',' ID)* | 'del' Es | 'assert' E (',' E)? | 'import' Q ('as' ID)? (',' Q ('as' ID)?)* | 'from' Dots? Q? 'import' (STAR | Imps | '(' Imps ','? ')') | ID ID ('[' Mix* ']')? '=' E
 Dots := ('.')+
@@ -344,18 +345,23 @@ Q := ID ('.' ID)*
 Imps := ID ('as' ID)? (',' ID ('as' ID)?)*
 Yield := 'yield' ('from' E | Es)?
 Mix := E | ',' | ':' | '=' | STAR | BIN
-Comp := 'async'? (Def | With | For) | Class | While | If | Try | '@' E NEWLINE | Match
+Comp := ('@' E NEWLINE)* ('async'? Def | Class) | 'async'? (With | For) | While | If | Try | Match
 Def := 'def' ID ('[' Mix* ']')? '(' Params? ')' (ARROW E)? ':' Suite
 Params := Param (',' Param)* ','?
 Param := STAR | BIN ID (':' E)? | STAR ID (':' E)? | ID (':' E)? ('=' E)? | BIN
 Class := 'class' ID ('[' Mix* ']')? ('(' Args? ')')? ':' Suite
-If := ('if' | 'elif') E ':' Suite | 'else' ':' Suite
-While := 'while' E ':' Suite
-For := 'for' Targets 'in' Es ':' Suite
+Else := 'else' ':' Suite
+If := 'if' E ':' Suite ('elif' E ':' Suite)* Else?
+While := 'while' E ':' Suite Else?
+For := 'for' Targets 'in' Es ':' Suite Else?
 With := 'with' (WItem (',' WItem)* | '(' WItem (',' WItem)* ','? ')') ':' Suite
 WItem := E ('as' T)?
-Try := ('try' | 'finally') ':' Suite | 'except' STAR? (Es ('as' ID)?)? ':' Suite
-Match := ID Es ':' NEWLINE INDENT | ID E ('if' E)? ':' Suite
+Exc := 'except' E (',' E)* ('as' ID)? ':' Suite
+Excs := Exc+ ('except' ':' Suite)? | 'except' ':' Suite | ('except' STAR E (',' E)* ('as' ID)? ':' Suite)+
+Finally := 'finally' ':' Suite
+Try := 'try' ':' Suite (Excs Else? Finally? | Finally)
+Match := ID Es ':' NEWLINE 'I' Case+ 'D'
+Case := ID Es ('as' ID)? ('if' E)? ':' Suite
 Targets := T (',' T)* ','?
 T := STAR? Prim0 Post*
 Es := SE (',' SE)* ','?
@@ -378,6 +384,4 @@ Sub := STAR? E | E? ':' E? (':' E?)?
 Bin := BIN | STAR | PM | '<' | '>' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'? | 'if' | 'else' | WALRUS | '@'
 E := Un* Prim0 Post* (Bin Un* Prim0 Post*)*
 """
-_PYTHON = _PYTHON.replace("Top := (Line)*", "Top := (DEDENT* Line | NEWLINE)* DEDENT*").replace("Suite := Stmt NEWLINE | NEWLINE 'INDENT' | NEWLINE INDENT", "Suite := Stmt NEWLINE | NEWLINE INDENT")
-
 RULES = {"java": _JAVA, "go": _GO, "rust": _RUST, "js": _JS, "ts": _TS, "c": _CC, "cpp": _CPP, "python": _PYTHON}
