@@ -51,6 +51,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of doubles of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """A float array as doubles of length 1; null for a zero vector."""
+    d = F.transform(a, lambda x: x.cast("double"))
+    norm = F.sqrt(dot(d, d))
+    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
+
+
 def joined(values: Column) -> Column:
     """Sorted, joined form of a collected set, so that results compare as plain strings."""
     return F.array_join(F.array_sort(values), ",")

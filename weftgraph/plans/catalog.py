@@ -31,6 +31,16 @@ def _seeded(plan: Callable[..., DataFrame], **kw: object) -> Query:
     return run
 
 
+def _every(plan: Callable[..., DataFrame], **kw: object) -> Query:
+    """The same plans from every function. The SQL of the seeded ones holds their seeds, so these have names of their own."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = load_graph(spark, d)
+        return plan(g, g.functions.select("repo_id", "id").distinct(), **kw)
+
+    return run
+
+
 def _classes(spark: SparkSession, d: str) -> DataFrame:
     return live_entities(table(spark, d, "code_classes"))
 
@@ -75,6 +85,12 @@ def search_vector(spark: SparkSession, d: str) -> DataFrame:
     return q.search_vector(v, v.filter("vec_id = 0")).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def search_vector_all(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of all vectors for each query: the rows whose vec_id is divisible by 20."""
+    v = table(spark, d, "embeddings")
+    return q.search_vectors(v, v.filter("vec_id % 20 = 0")).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     files, runs = table(spark, d, "code_files"), table(spark, d, "index_runs")
     return intervals.paths_to_process(files, intervals.ledger_of_runs(files, runs))
@@ -112,6 +128,10 @@ QUERIES: dict[str, Query] = {
     "search_fulltext": _graph(q.search_fulltext, query="cache the index and the buffer"),
     "search_fulltext_classes": _graph(q.search_fulltext, query="cache the index and the buffer", label="Class"),
     "search_vector": search_vector,
+    "search_vector_all": search_vector_all,
+    "call_graph_all": _every(q.call_graph),
+    "impact_all": _every(q.change_impact),
+    "similar_functions_all": _every(q.similar_functions),
     "file_search": _graph(q.file_search, text="handler"),
     "list_repositories": _graph(q.list_repositories),
     "graph_stats": _graph(q.graph_stats),

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import bm25, cosine, joined
+from weftgraph.functions.text import bm25, cosine, dot, joined, unit
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import paths
 from weftgraph.operators.dedup import keep_first
@@ -221,6 +221,13 @@ def search_vector(vectors: DataFrame, query: list[float] | DataFrame, key: str =
     return scored.filter(F.col("score") > floor)
 
 
+def search_vectors(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", floor: float = 0.3) -> DataFrame:
+    """Exact k-NN scores (1 + cosine) / 2 above ``floor`` of all vectors for every row of ``queries`` (key, column), as query_id, key, score."""
+    v, q = vectors.select(key, unit(F.col(column)).alias("__v")), queries.select(F.col(key).alias("query_id"), unit(F.col(column)).alias("__q"))
+    scored = v.crossJoin(q).select("query_id", key, ((1 + dot(F.col("__v"), F.col("__q"))) / 2).alias("score"))
+    return scored.filter(F.col("score") > floor)
+
+
 def file_search(graph: CodeGraph, text: str, repo_id: str | None = None) -> DataFrame:
     f = narrowed(graph, repo_id).files.filter(F.col("name").contains(text) | F.col("path").contains(text))
     return f.select("repo_id", F.col("path").alias("id"), "name", "path", F.col("lines_of_code").alias("lines"))
