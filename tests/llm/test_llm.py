@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import docpairs, handwritten, mixture, quality, syntax, tokens
+from weftgraph.llm.grammar import grammar, levels
+from weftgraph.llm.rules import RULES
 
 
 def test_tokens_equal_whole_encoding(spark):
@@ -93,3 +95,11 @@ def test_prose(spark):
     st = quality.statistics(d)
     assert {r.doc_id for r in quality.prose(st, quality.sketches(st)).collect()} == {1, 6}
     assert st.filter(F.col("words") == 0).count() == 2
+
+
+def test_grammars_accept_reduced_groups():
+    for lang in RULES:
+        lv = levels(lang)
+        for s in ("", "i", "s", "i,n,s"):
+            assert lv["("].accepts(s), (lang, s)
+        assert "^$" in grammar(lang).pairs

@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.parse.grammar import grammar, recogniser
-from weftgraph.parse.lexers import ERROR, SUFFIXES, lex
-from weftgraph.parse.rules import RULES
+from weftgraph.llm.grammar import grammar, recogniser
+from weftgraph.llm.lexers import ERROR, SUFFIXES, lex
+from weftgraph.llm.rules import RULES
 from weftgraph.session import scratch
 
 KEY = ["h1", "h2"]
