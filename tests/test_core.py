@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from weftgraph.operators import hierarchy, intervals, paths, references
 from weftgraph.operators.dedup import keep_first, upsert
 from weftgraph.parse import braces, python_source
-from weftgraph.parse.grammar import grammar, levels
-from weftgraph.parse.rules import RULES
 from weftgraph.plans import catalog
 from weftgraph.sources.tables import load_graph
 
@@ -86,14 +84,6 @@ def test_parsers():
     assert braces.use_tree("std::{io::{Read, Write}, fmt::Debug as D}") == [("std::io::Read", "Read"), ("std::io::Write", "Write"), ("std::fmt::Debug", "D")]
 
 
-def test_grammars_accept_reduced_groups():
-    for lang in RULES:
-        lv = levels(lang)
-        for s in ("", "i", "s", "i,n,s"):
-            assert lv["("].accepts(s), (lang, s)
-        assert "^$" in grammar(lang).pairs
-
-
 def test_graph_questions_from_every_function(spark):
     d = "/root/testdata/sf0.001"
     g, every = load_graph(spark, d), catalog.queries()
