@@ -56,10 +56,9 @@ def test_handwritten(spark):
 
 
 def test_docstrings():
-    say = lambda d, n="pushGridStage", s="(x)", c=None: docpairs.informative(d, n, s, c)
+    say = lambda d, n="pushGridStage", s="(x)": docpairs.informative(d, n, s)
     assert say("Blocks until the unit has room for another tag.") and say("Returns -1 if no rule fits.") and say("TODO: tidy up.\nrankを更新し、変更された数を返します。")
     assert not any(map(say, [None, "", "  ", "Push grid stage.", "TODO", "@param x the x\n@return the result", "return tail + 1;", "noqa: E501", "Licensed under the terms in NOTICE.", "==========", "Created 2023-08-18"]))
-    assert not say("Holds the lock while the store is open.", c="Holds the lock while the store is open.")
 
 
 def test_pairs(spark):
@@ -70,6 +69,21 @@ def test_pairs(spark):
     assert [r.code for r in docpairs.pairs(f, c, s.limit(0)).collect()] == [None]
 
 
+def test_documentation_comes_from_the_source(spark):
+    java = 'class A {\n  int x;\n\n  // Licence of nothing.\n\n  // Blocks until the unit has room,\n  // then takes the next tag.\n  @Override(note = "}")\n  public int f(int x) {\n    String s = "{ /* no */";\n    return g(x);\n  }\n  /** Holds the lock while the store is open. */\n  int h() { return 1; }\n  int k() { return 2; }\n}\n'
+    js = "const a = (x) => {\n  return x;\n};\n// Sends every batch twice when the line is slow.\nexport const b = async (x) => g(x);\nfoo(a)\nif (b) { c(); }\n"
+    s = spark.createDataFrame([("r", "A.java", java), ("r", "A.java", java), ("r", "b.js", js), ("r", "c.py", ""), ("r", "d.txt", "int f() {}"), (None, "e.py", None)], "repo_id string, path string, source string")
+    got = {(r.path, r.name): (r.start_line, r.end_line, r.comment) for r in docpairs.spans(s).collect()}
+    assert got == {
+        ("A.java", "f"): (8, 12, "// Blocks until the unit has room,\n  // then takes the next tag."), ("A.java", "h"): (14, 14, "/** Holds the lock while the store is open. */"), ("A.java", "k"): (15, 15, None),
+        ("b.js", "a"): (1, 3, None), ("b.js", "b"): (5, 5, "// Sends every batch twice when the line is slow."),
+    }
+    rec = lambda name, doc, line, owner="A.java:A": ("r", "A.java", name, f"A.java:A:{name}", owner, "()", doc, line)
+    f = spark.createDataFrame([rec("f", "Blocks until the unit has room, then takes the next tag.", 8), rec("h", "Holds the lock while the store is open.", 14), rec("k", None, 15)], "repo_id string, path string, name string, id string, class_id string, signature string, docstring string, start_line int")
+    c = spark.createDataFrame([("r", "A.java:A", "Holds the lock while the store is open.")], "repo_id string, id string, docstring string")
+    assert [(r.function_id, r.description[:2]) for r in docpairs.pairs(f, c, s).collect()] == [("A.java:A:f", "//")]
+
+
 def test_spans_of_whole_functions(spark):
     java = "class A {\n    int f(int x) {\n        if (x > 1) {\n            x--;\n        }\n        while (x < 9) {\n            x++;\n        }\n        for (int a : b) {\n            g(a);\n        }\n        switch (x) {\n            default: x = 1;\n        }\n        return x;\n    }\n}\n"
     cpp = "int h(int a);\n\nvoid f(int a)\n{\n    run();\n}\n\nint g()\n{\n    do {\n        x();\n    } while (y);\n    return 1;\n}\n"

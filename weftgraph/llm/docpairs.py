@@ -1,26 +1,33 @@
 """Functions paired with their documentation, without those whose documentation says nothing.
 
-Sources are exploded into one row per line with its lexical facts (braces outside of strings and comments, indentation,
-comment or code, name of a function that starts here). Windows over a file's rows give the brace depth, the end of each
-function (the next line on which the depth, or for Python the indentation, is back where it was, so that functions inside
-of functions end on their own); its code is cut out of the source. Islands of comment lines are attached to the header below. Functions of the records are joined to these spans
-by path and name; a function whose source is missing keeps its record's signature and docstring with a null code.
-
-A docstring says something if, after comment marks, tags, directives, licence lines and code are taken off, a sentence
-holds enough words that neither the name nor the signature nor stock phrases hold. Null, empty and blank docstrings say
-nothing. Repeated records count once. A file is handled by the tasks that hold its lines; very long files only make longer
-windows. Extra columns are ignored.
+Sources are lexed (structure.py) and the structural tokens of every file exploded into rows. A running sum over a file's
+rows gives the bracket depth; rows of one depth are siblings, and a closing bracket also ends the siblings inside of it. A
+name whose next sibling opens a body is a function, the sibling that closes it is its end. Comments on adjoining lines are
+islands; ``lag`` attaches the island right above a function's declaration, ``lead`` the string that opens a Python suite.
+Everything is computed on offsets, in one sorted pass per file (one shuffle of the token arrays); code and comment are cut
+out of the source at the end.
+
+Records (code_functions) are joined to these functions by path and name. The description is the documentation that stands
+in the source where it says the same as the record, else the record's docstring (source missing, changed or unreadable). A
+record without a docstring has none, whatever the source says. A description says something if, after comment marks, tags,
+directives, licence lines and code are taken off, a sentence holds enough words that neither the name nor the signature nor
+stock phrases hold. Null, empty and blank docstrings say nothing. Repeated records count once. A file is handled by the task
+that holds its rows; a word-for-word repetition of the class's docstring says nothing; very long files only make longer windows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.structure import structure
+from weftgraph.llm.syntax import language_of
+
 #: New words that a sentence, and a tag line, must hold.
 NEW_WORDS, NEW_TAG_WORDS = 3, 4
 
@@ -63,12 +70,10 @@ def name_words(text: str) -> set[str]:
 _EMPTY_STEMS = {stem(w) for w in _EMPTY}
 
 
-def informative(doc: str | None, name: str | None, signature: str | None, class_doc: str | None) -> bool:
+def informative(doc: str | None, name: str | None, signature: str | None) -> bool:
     """Whether a docstring tells something that name and signature do not."""
     if not doc or not doc.strip():
         return False
-    if class_doc and doc.strip() == class_doc.strip():
-        return False
     known = name_words(name or "") | name_words(signature or "") | _EMPTY_STEMS
     joined = "".join(sorted(name_words(name or "")))
     tag = False
@@ -99,103 +104,103 @@ def informative(doc: str | None, name: str | None, signature: str | None, class_
 
 
 @F.pandas_udf(T.BooleanType())
-def _informative(doc: pd.Series, name: pd.Series, signature: pd.Series, class_doc: pd.Series) -> pd.Series:
-    return pd.Series([informative(*x) for x in zip(doc, name, signature, class_doc, strict=True)], dtype=bool)
-
-
-#: A line longer than this starts no function: it is data or minified.
-HEADER_LINE = 400
-# Start of a function by language; the first group that matches is the name.
-_HEADERS = {
-    "python": r"^\s*(?:async\s+)?def\s+(\w+)",
-    "go": r"^func\s*(?:\([^)]*\)\s*)?(\w+)",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe)\s+)*fn\s+(\w+)",
-    "script": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*|(?:(?:public|private|protected|static|async|readonly|override)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|with\b))(\w+)\s*(?:<[^(]*>)?\s*\([^;]*\)\s*(?::[^;{]+)?\{\s*$",
-    "brace": r"^\s*+(?!(?:return|else|if|for|while|switch|catch|do|new|throw)\b)(?:[\w:<>,.\[\]&*~ ]+[ &*])(?!(?:return|if|for|while|switch|catch|do|new|throw|synchronized|sizeof)\b)(\w+)\s*\([^;]*\)\s*(?:const|override|noexcept|throws [\w., ]+|\s)*\{?\s*$",
-}
-
-
-def _family(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when(ext.isin("py", "pyw"), "python").when(ext == "go", "go").when(ext == "rs", "rust").when(ext.isin("ts", "tsx", "js", "jsx"), "script").when(ext.isin("java", "c", "h", "cc", "cpp", "cxx", "hpp", "hxx"), "brace")
-
-
-def _sources(files: DataFrame) -> DataFrame:
-    f = files.select("repo_id", "path", "source").filter("source is not null and path is not null")
-    return f.groupBy("repo_id", "path").agg(F.max("source").alias("source"))
-
-
-def _lines(source: Column) -> Column:
-    return F.split(source, r"\r?\n")
-
-
-def line_rows(files: DataFrame) -> DataFrame:
-    """One row per line: repo_id, path, line, text, comment (a comment or annotation line), depth before and after, name,
-    opens (an opening brace in it), stops (a semicolon in it)."""
-    f = _sources(files).withColumn("family", _family(F.col("path"))).filter("family is not null")
-    r = f.select("repo_id", "path", "family", F.posexplode(_lines(F.col("source"))).alias("line", "text"))
-    py = F.col("family") == "python"
-    comment = F.when(py, F.col("text").rlike(r"^\s*[#@]")).otherwise(F.col("text").rlike(r"^\s*(?://|/?\*|@\w|#\[)"))
-    bare = F.regexp_replace("text", r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'(?:\\.|[^'\\])'|`[^`]*+`|//.*$|/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/", "")
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c)))
-    step = F.when(py | comment, 0).otherwise(count("{") - count("}"))
-    name = F.lit(None).cast("string")
-    for k, h in _HEADERS.items():
-        name = F.when((F.col("family") == k) & (F.length("text") <= HEADER_LINE), F.nullif(F.regexp_extract("text", h, 1), F.lit(""))).otherwise(name)
-    r = r.withColumn("comment", comment).withColumn("step", step).withColumn("name", F.when(~comment, name))
-    r = r.withColumn("opens", ~comment & bare.contains("{")).withColumn("stops", ~comment & bare.contains(";"))
-    w = Window.partitionBy("repo_id", "path").orderBy("line")
-    indent = F.length(F.regexp_extract("text", r"^[ \t]*", 0))
-    blank = F.trim("text") == ""
-    after = F.when(py, F.when(blank, 10_000).otherwise(indent)).otherwise(F.sum("step").over(w))
-    r = r.withColumn("after", after).withColumn("before", F.when(py, indent).otherwise(F.col("after") - F.col("step")))
-    return r.drop("step")
+def _informative(doc: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Series:
+    return pd.Series([informative(*x) for x in zip(doc, name, signature, strict=True)], dtype=bool)
+
+
+FILE = ["h1", "h2"]
+_TOKENS = "h1 bigint, h2 bigint, kind array<string>, pos array<int>, stop array<int>, line array<int>, until array<int>, name array<string>"
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """(h1, h2, repo_id, path, lang, source) of files with a known suffix; equal keys are equal rows."""
+    f = files.select("repo_id", "path", language_of(F.col("path")).alias("lang"), "source").filter("source is not null and lang is not null")
+    return f.select(F.xxhash64("repo_id", "path").alias("h1"), F.xxhash64("source", "path").alias("h2"), "*")
+
+
+def token_rows(files: DataFrame) -> DataFrame:
+    """One row per structural token of each different file: h1, h2 (file), i, kind, pos, stop, line, until, name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            t = [structure(lang, s) for lang, s in zip(b["lang"], b["source"], strict=True)]
+            yield pd.DataFrame({
+                "h1": b["h1"], "h2": b["h2"], "kind": [x.kinds for x in t], "pos": [x.pos for x in t], "stop": [x.stop for x in t],
+                "line": [x.line for x in t], "until": [x.to for x in t], "name": [x.names for x in t],
+            })
+
+    lexed = _keyed(files).select("h1", "h2", "lang", "source").mapInPandas(run, _TOKENS)
+    columns = ["kind", "pos", "stop", "line", "until", "name"]
+    once = lexed.groupBy(*FILE).agg(*[F.first(c).alias(c) for c in columns])
+    return once.select(*FILE, F.posexplode(F.arrays_zip(*columns)).alias("i", "t")).select(*FILE, "i", "t.*")
+
+
+def levels(rows: DataFrame) -> DataFrame:
+    """``rows`` with their level (brackets stand on the level around them) and the string of a suite right behind; a closing
+    bracket comes out once more, as kind $, on the level that it ends. Parentheses are left out."""
+    w = Window.partitionBy(*FILE).orderBy("i")
+    opens, closes = F.col("kind").isin("(", "{"), F.col("kind").isin(")", "}")
+    suite = (F.lead("kind", 1).over(w) == "{") & (F.lead("kind", 2).over(w) == "s")
+    r = rows.withColumn("after", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w))
+    r = r.withColumn("doc", F.when(suite, F.struct(F.lead("pos", 2).over(w).alias("pos"), F.lead("stop", 2).over(w).alias("stop"))))
+    own = F.struct(F.col("kind"), F.when(opens, F.col("after") - 1).otherwise(F.col("after")).alias("level"))
+    seen = F.explode(F.when(closes, F.array(own, F.struct(F.lit("$").alias("kind"), (F.col("after") + 1).alias("level")))).otherwise(F.array(own))).alias("x")
+    r = r.select(*FILE, "i", "pos", "stop", "line", "until", "name", "doc", seen).select(*FILE, "i", "pos", "stop", "line", "until", "name", "doc", "x.kind", "x.level")
+    return r.filter(~F.col("kind").isin("(", ")"))
+
+
+def functions_of(files: DataFrame) -> DataFrame:
+    """(h1, h2, name, line, pos, end, doc): offsets of every function and of its documentation (null if it has none)."""
+    r = levels(token_rows(files))
+    on = Window.partitionBy(*FILE, "level").orderBy("i")
+    back = Window.partitionBy(*FILE, "level").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    comment, kind = F.col("kind") == "c", F.col("kind")
+    starts = comment & ~F.coalesce((F.lag("kind").over(on) == "c") & (F.lag("until").over(on) + 1 >= F.col("line")), F.lit(False))
+    r = r.withColumn("starts", starts)
+    r = r.withColumn("island", F.last(F.when(F.col("starts"), F.col("pos")), ignorenulls=True).over(on.rowsBetween(Window.unboundedPreceding, 0)))
+    above = F.struct(F.lag("island").over(on).alias("pos"), F.lag("stop").over(on).alias("stop"))
+    attached = (F.lag("kind").over(on) == "c") & (F.lag("until").over(on) + 1 >= F.col("line"))
+    r = r.withColumn("above", F.when(attached, above))
+    following = lambda *kinds: F.last(F.when(kind.isin(*kinds), F.struct("kind", "pos", "stop")), ignorenulls=True).over(back)
+    r = r.withColumn("body", following("{", "e", ";", "$")).withColumn("shut", following("}")).withColumn("next", following(">", "{", "e", ";", "$"))
+    f = r.filter(kind.isin("n", "a") & ((kind == "n") | (F.col("next.kind") == ">")) & (F.col("body.kind") != "$"))
+    end = F.when(F.col("body.kind") == "{", F.col("shut.stop")).otherwise(F.col("body.stop"))
+    return f.select(*FILE, "name", "line", "pos", end.alias("end"), F.coalesce("doc", "above").alias("doc")).filter("end is not null")
 
 
 def spans(files: DataFrame) -> DataFrame:
-    """(repo_id, path, name, start_line, end_line, comment, code): functions as the lines delimit them."""
-    r = line_rows(files)
-    file = ["repo_id", "path"]
-    py, blank = F.col("family") == "python", F.trim("text") == ""
-    # open heads are a stack by level: a line ends those between its level and the level before it. A semicolon ends a head without a body.
-    seen = Window.partitionBy(*file).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("prior", F.last(F.when(~blank, F.struct("line", "before")), ignorenulls=True).over(seen))
-    top = F.when(py, F.when(~blank, F.least(F.col("prior.before"), F.lit(HEADER_LINE)))).when((F.col("after") < F.col("before")) | F.col("stops"), F.col("before"))
-    low = F.when(py, F.col("before")).otherwise(F.col("after")).cast("bigint")
-    level = F.explode(F.sequence(low, top.cast("bigint"), F.lit(1).cast("bigint"))).alias("level")
-    ends = r.filter(top.isNotNull() & (low <= top)).select(*file, "line", F.lit(None).cast("string").alias("name"), F.when(py, F.col("prior.line")).otherwise(F.col("line")).alias("end"), level)
-    # the whole function on the line of its header
-    alone = ~py & (F.col("after") <= F.col("before")) & (F.col("opens") | F.col("stops"))
-    heads = r.filter("name is not null").select(*file, "line", "name", F.when(alone, F.col("line")).alias("end"), F.col("before").cast("bigint").alias("level"))
-    later = Window.partitionBy(*file, "level").orderBy("line", F.col("name").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    ended = heads.unionByName(ends).withColumn("shut", F.first(F.when(F.col("name").isNull(), F.col("end")), ignorenulls=True).over(later))
-    found = ended.filter("name is not null").select(*file, "name", F.col("line").alias("head"), F.coalesce("end", "shut").alias("end"))
-    # comment lines right above a header: islands of comment lines
-    island = F.col("line") - F.row_number().over(Window.partitionBy(*file, "comment").orderBy("line"))
-    above = r.filter("comment").withColumn("island", island).groupBy(*file, "island").agg(F.max("line").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("comment"))
-    both = found.withColumn("last", F.col("head") - 1).join(above.select(*file, "last", "comment"), [*file, "last"], "left")
-    # a file's source is split once for all of its functions
-    by_file = both.groupBy(*file).agg(F.collect_list(F.struct("name", "head", "end", "comment")).alias("found"))
-    cut = by_file.join(_sources(files), file).withColumn("lines", _lines(F.col("source")))
-    text = lambda x: F.regexp_replace(F.array_join(F.slice("lines", x["head"] + 1, F.coalesce(x["end"] + 1, F.size("lines")) - x["head"]), "\n"), r"\s+$", "")
-    cut = cut.select(*file, F.explode(F.transform("found", lambda x: F.struct(x["name"].alias("name"), x["head"].alias("head"), x["comment"].alias("comment"), text(x).alias("code")))).alias("x"))
-    return cut.select(*file, "x.name", (F.col("x.head") + 1).alias("start_line"), (F.col("x.head") + F.size(F.split("x.code", "\n"))).alias("end_line"), "x.comment", "x.code")
-
-
-def documented(functions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Live function records whose docstring says something."""
-    own = classes.groupBy("repo_id", F.col("id").alias("class_id")).agg(F.max("docstring").alias("class_doc"))
-    f = functions.filter(F.col("docstring").isNotNull() & (F.trim("docstring") != "")).join(own, ["repo_id", "class_id"], "left")
-    return f.filter(_informative("docstring", "name", "signature", "class_doc"))
+    """(repo_id, path, name, start_line, end_line, comment, code): the functions of every file, texts cut out of the source."""
+    found = functions_of(files).groupBy(*FILE).agg(F.collect_list(F.struct("name", "line", "pos", "end", "doc")).alias("found"))
+    texts = _keyed(files).groupBy(*FILE).agg(F.first("repo_id").alias("repo_id"), F.first("path").alias("path"), F.first("source").alias("source"))
+    f = texts.join(found, FILE).select("repo_id", "path", "source", F.explode("found").alias("x"))
+    cut = lambda a, b: F.substring(F.col("source"), a + 1, b - a)
+    f = f.select("repo_id", "path", "x.name", F.col("x.line").alias("start_line"), cut(F.col("x.doc.pos"), F.col("x.doc.stop")).alias("comment"), cut(F.col("x.pos"), F.col("x.end")).alias("code"))
+    return f.select("repo_id", "path", "name", "start_line", (F.col("start_line") + F.length("code") - F.length(F.replace("code", F.lit("\n")))).alias("end_line"), "comment", "code")
 
 
-def pairs(functions: DataFrame, classes: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, function_id, signature, description, code): function and description, code from the source where it has it.
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
+def described(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """Live function records with a docstring, with ``description`` and ``code`` of the function in the source.
 
     Among several functions of one name in a file the one nearest to the record's start_line counts.
     """
-    f = documented(functions, classes).select("repo_id", "path", "name", "id", "signature", "docstring", "start_line")
-    s = spans(files).select("repo_id", "path", "name", F.col("start_line").alias("at"), "code")
+    f = functions.filter(F.col("docstring").isNotNull() & (F.trim("docstring") != ""))
+    f = f.select("repo_id", "path", "name", "id", "class_id", "signature", "docstring", "start_line")
+    s = spans(files).select("repo_id", "path", "name", F.col("start_line").alias("at"), "comment", "code")
     j = f.join(s, ["repo_id", "path", "name"], "left")
-    g = j.groupBy("repo_id", F.col("id").alias("function_id"), "signature", F.col("docstring").alias("description")).agg(F.min_by("code", F.abs(F.coalesce(F.col("at") - F.col("start_line"), F.lit(0)))).alias("code"))
-    return g
+    off = F.coalesce(F.abs(F.col("at") - F.col("start_line")), F.lit(0))
+    g = j.groupBy("repo_id", "id", "class_id", "name", "signature", "docstring").agg(F.min_by(F.struct("comment", "code"), F.struct(off, "at")).alias("best"))
+    same = _letters(F.col("best.comment")) == _letters(F.col("docstring"))
+    return g.select("repo_id", "id", "class_id", "name", "signature", F.when(same, F.col("best.comment")).otherwise(F.col("docstring")).alias("description"), F.col("best.code").alias("code"))
+
+
+def pairs(functions: DataFrame, classes: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, function_id, signature, description, code) of the functions whose description says something."""
+    own = classes.groupBy("repo_id", F.col("id").alias("class_id")).agg(F.max("docstring").alias("class_doc"))
+    f = described(functions, files).join(own, ["repo_id", "class_id"], "left")
+    repeats = F.coalesce(_letters(F.col("description")) == _letters(F.col("class_doc")), F.lit(False))
+    f = f.filter(~repeats & _informative("description", "name", "signature"))
+    return f.select("repo_id", F.col("id").alias("function_id"), "signature", "description", "code")
