@@ -100,8 +100,9 @@ def _braces(lang: str, source: str) -> Tokens:
                 while kinds and kinds[-1] in "na":
                     pop()
                 if kinds and kinds[-1] == "(":
+                    opened = t.pos[-1]
                     pop()
-                    if kinds and kinds[-1] == "n":
+                    if script and kinds and kinds[-1] == "n" and source[t.stop[-1] : opened].strip()[:1] in ("", "<"):
                         t.stop[-1] = b
                 else:
                     add(")", a, b)
