@@ -107,10 +107,23 @@ def test_prose(spark):
     prose = "The old reader was slow, so we moved it out of the loop. It is safe to call it twice because the store keeps what it has seen. "
     d = spark.createDataFrame([(1, prose), (2, "- a\n- b c\n- d\n" * 9), (3, ""), (4, None), (5, "int f() { return 1; }\n" * 9), (6, prose * 2 + "\n\n    f(x)\n")], "doc_id bigint, text string")
     st = quality.statistics(d)
-    assert {r.doc_id for r in quality.prose(st, quality.sketches(st)).collect()} == {1, 6}
+    assert {r.doc_id for r in quality.prose(st).collect()} == {1, 6}
     assert st.filter(F.col("words") == 0).count() == 2
 
 
+def test_prose_tails_and_scripts(spark):
+    say = "The old reader number {} was slow, so we moved it out of the loop. It is safe to call it {} times because the store keeps what it has seen. "
+    russian = "Старый читатель работал слишком медленно, поэтому мы вынесли его из цикла. Теперь он ждёт, пока хранилище освободится.\n"
+    hindi = "पुराना पाठक बहुत धीमा था इसलिए हमने उसे लूप से बाहर कर दिया। अब वह भंडार के खाली होने तक प्रतीक्षा करता है।\n"
+    rows = [(i, say.format(i, i + 1) + say.format(i + 2, i + 3)) for i in range(60)]
+    rows += [(100, "It stays in the cache.\n" * 60), (101, "\n".join(f"load_x{i}\tno\t{i}\tno\ta\tgrid" for i in range(30))), (102, russian), (103, hindi), (104, say + "\n\n- one\n- two\n"), (105, "T\u0336h\u0336e\u0336 \u0336o\u0336l\u0336d\u0336 is in the loop of it and the one\u0336.")]
+    st = quality.statistics(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id for r in quality.prose(st).collect()} == {*range(60), 102, 103, 104}
+    s = quality.scored(st, quality.quantiles(quality.sketches(st)))
+    assert s.filter("doc_id = 5 and (prose_ratio_pct <= 0 or abs(common_ratio_z) > 3.5)").count() == 0 and s.count() == st.count()
+    assert quality.prose(st.limit(0)).count() == 0
+
+
 def test_grammars_accept_reduced_groups():
     for lang in RULES:
         lv = levels(lang)

@@ -59,7 +59,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     stats = cut(quality.statistics(table(spark, d, "documents")))
-    return quality.prose(stats, quality.sketches(stats)).select("doc_id").distinct()
+    return quality.prose(stats).select("doc_id").distinct()
 
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
