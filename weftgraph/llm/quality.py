@@ -38,8 +38,10 @@ _CODE = re.compile(
     r"[{};]\s*$|[=!<>+]=|->|=>|::|\w\(\)|\w+\(\w*+(?:, ?\w++)*+\)\s*[;{]?\s*$|\A\s*(?://|/\*|\*/|\"\"\"|\'\'\'|#!|#\s.{60}"
     r"|(?:import|from|package|use|pub|fn|func|def|class|struct|impl|return|const|let|var|if|for|while|switch|case|#include|#define|public|private|static|export|async|try|catch|else|elif|except|assert|print|void|int|namespace|interface|trait|type|enum|self|raise|with)\b.*[(){}\[\]=:;<])", re.A
 )
-_SYMBOL = re.compile(r"[^\w\s\u0300-\u036f.,;:!?'\"()。、，！？…’“”«»।؟،-]|\d+")
-_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0e30-\u0e4e\u1000-\u109f]+[^\W\d_]*)*")
+#: Signs that belong to the letter before them.
+_SIGNS = r"\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0dff\u0e30-\u0e4e\u1000-\u109f"
+_SYMBOL = re.compile(rf"[^\w\s{_SIGNS}.,;:!?'\"()。、，！？…’“”«»।؟،-]|\d+")
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_SIGNS}]+[^\W\d_]*)*")
 _CJK = re.compile(r"[\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 _KANA = re.compile(r"[\u3041-\u309f]")
 _JOINT = re.compile(r"[。、，！？\u3041-\u309f的了在是会这以从不]")
@@ -130,7 +132,7 @@ def measure(text: str | None) -> tuple:
     )
 
 
-_MARKS = re.compile(r"[^\w\s\u0300-\u036f]|_")
+_MARKS = re.compile(rf"[^\w\s{_SIGNS}]|_")
 _PUNCTUATION = {c: None for c in range(33, 127) if not chr(c).isalnum()}
 MEASURES = ["mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio", "prose_ratio", "list_ratio", "distinct_ratio", "mark_ratio"]
 STATISTICS = ["words", *MEASURES, "chars", "language"]
