@@ -161,10 +161,10 @@ MOSTLY = 0.5
 #: Robust deviations beyond which a value lies in a tail, and the least spread of a measure (distributions of clean text
 #: are often a single value).
 TAIL = 7.0
-SPREAD = {"distinct_ratio": 0.08, "mark_ratio": 0.007}
+SPREAD = {"distinct_ratio": 0.08, "mark_ratio": 0.007, "list_ratio": 0.07}
 LEAST_SPREAD = 0.02
-#: Tails that running text does not have: too few joining words, the same said over and over, stray marks.
-LOW_TAILS, HIGH_TAILS = ("common_ratio", "distinct_ratio"), ("mark_ratio",)
+#: Tails that running text does not have: too few joining words, the same said over and over, stray marks, items and code.
+LOW_TAILS, HIGH_TAILS = ("common_ratio", "distinct_ratio"), ("mark_ratio", "list_ratio")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
