@@ -31,14 +31,31 @@ def test_dedup(spark):
     assert {r.t for r in upsert(d.filter("v = 1"), d.filter("v = 2"), ["k"], [F.col("v")]).collect()} == {"y", "z"}
 
 
+def classes_of(spark, text):
+    """Classes by name with their bases: "b(a) c(b,d)"."""
+    rows = [("r", f"m:{x[0]}", x[0], [b for b in x[2:-1].split(",") if b], None) for x in text.split()]
+    return spark.createDataFrame(rows, "repo_id string, id string, name string, base_classes array<string>, interfaces array<string>")
+
+
 def test_hierarchy(spark):
     links = spark.createDataFrame([("r", c, p, 0) for c, p in ["ba", "cb", "xy", "yx", "zx", "ss"]], "repo_id string, child string, parent string, ord int")
     assert {r.id for r in hierarchy.on_cycle(links).collect()} == {"x", "y", "s"}
-    assert {(r.node, r.ancestor) for r in hierarchy.closure(links).collect()} >= {("c", "a"), ("b", "a"), ("z", "y")}
-    nodes = spark.createDataFrame([("r", c, c.upper()) for c in "abcxyzs"], "repo_id string, id string, name string")
-    got = {r.id: (r.path, r.depth, r.root) for r in hierarchy.paths_to_root(nodes, links).collect()}
-    assert got["c"] == ("A/B/C", 2, "a") and got["a"] == ("A", 0, "a") and got["z"] == (None, None, None)
-    assert hierarchy.on_cycle(links.limit(0)).count() == 0
+    assert {(r.node, r.ancestor) for r in hierarchy.closure(links).collect()} == {(a, b) for a, b in ["ba", "cb", "ca", "xy", "yx", "zx", "zy", "xx", "yy", "ss"]}
+    assert hierarchy.on_cycle(links.limit(0)).count() == 0 and hierarchy.closure(links.limit(0)).count() == 0
+    got = {r.class_id[2:]: (r.path, r.depth, r.root and r.root[2:], r.descendants, r.on_cycle) for r in hierarchy.hierarchy(classes_of(spark, "a() b(a) c(b,e) e() f() x(y) y(x) z(x) s(s) w(z)")).collect()}
+    assert got == {
+        "a": ("a", 0, "a", 2, False), "b": ("a/b", 1, "a", 1, False), "c": ("a/b/c", 2, "a", 0, False), "e": ("e", 0, "e", 1, False), "f": ("f", 0, "f", 0, False),
+        "x": (None, None, None, 3, True), "y": (None, None, None, 3, True), "z": (None, None, None, 1, False), "s": (None, None, None, 0, True), "w": (None, None, None, 0, False),
+    }
+
+
+def test_long_chain_behind_a_cycle(spark):
+    n = 70
+    links = [("r", f"n{i:03d}", f"n{i - 1:03d}", 0) for i in range(1, n)] + [("r", "n000", "n001", 0)] + [("r", f"t{i}", f"t{i - 1}", 0) for i in range(1, 40)] + [("r", f"leaf{i}", "t0", 0) for i in range(50)]
+    links = spark.createDataFrame(links, "repo_id string, child string, parent string, ord int")
+    assert {r.id for r in hierarchy.on_cycle(links).collect()} == {"n000", "n001"}
+    assert hierarchy.closure(links).filter("ancestor = 't0'").count() == 89
+    assert hierarchy.closure(links).filter("node = 'n069'").count() == 69
 
 
 def test_bare_names(spark):
