@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import hierarchy, intervals, paths, references
@@ -63,23 +64,70 @@ def test_bare_names(spark):
     assert {r[0] for r in d.select(hierarchy.bare_name(F.col("x"))).collect()} == {"A"}
 
 
+def scans(spark, *ids):
+    return spark.createDataFrame([("r", i) for i in ids], "repo_id string, scan_id bigint")
+
+
 def test_incremental_run_survives_failure(spark, tmp_path):
-    run = intervals.IncrementalRun(spark, str(tmp_path))
-    rec = lambda *ids: spark.createDataFrame([("r", i) for i in ids], "repo_id string, scan_id bigint")
-    run.run(rec(1, 2, 5), lambda d: d)
+    run = intervals.IncrementalRun(spark, str(tmp_path), compact=2)
+    run.run(scans(spark, 1, 2, 5), lambda d: d)
 
     def fail(d):
         raise RuntimeError
 
-    for bad in (fail,):
-        try:
-            run.run(rec(1, 2, 3, 5, 9), bad)
-        except RuntimeError:
-            pass
-    assert {r.scan_id for r in run.pending(rec(1, 2, 3, 5, 9)).collect()} == {3, 9}
-    run.run(rec(1, 2, 3, 5, 9), lambda d: d)
+    with pytest.raises(RuntimeError):
+        run.run(scans(spark, 1, 2, 3, 5, 9), fail)
+    assert {r.scan_id for r in run.pending(scans(spark, 1, 2, 3, 5, 9)).collect()} == {3, 9}
+    run.run(scans(spark, 1, 2, 3, 5, 9), lambda d: d)
     assert sorted(r.scan_id for r in run.output().collect()) == [1, 2, 3, 5, 9]
-    assert run.pending(rec(1, 2, 3, 5, 9)).count() == 0
+    assert run.pending(scans(spark, 1, 2, 3, 5, 9)).count() == 0
+    assert {(r.lo, r.hi) for r in run.ledger().collect()} == {(1, 3), (5, 5), (9, 9)}
+    run.run(scans(spark, 4, 5), lambda d: d)
+    assert {(r.lo, r.hi) for r in run.ledger().collect()} == {(1, 5), (9, 9)} and [c["whole"] for c in run.commits()] == [False, True, False]
+
+
+def test_record_that_arrives_while_a_run_writes(spark, tmp_path):
+    source = str(tmp_path / "source")
+    scans(spark, 1, 2).write.parquet(source)
+    run = intervals.IncrementalRun(spark, str(tmp_path / "store"))
+
+    def late(d):
+        scans(spark, 3).write.mode("append").parquet(source)
+        return d
+
+    run.run(spark.read.parquet(source), late)
+    assert {r.scan_id for r in run.output().collect()} == {1, 2}
+    assert {r.scan_id for r in run.pending(spark.read.parquet(source)).collect()} == {3}
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    a, b = intervals.IncrementalRun(spark, str(tmp_path)), intervals.IncrementalRun(spark, str(tmp_path))
+    inner = []
+
+    def other_first(d):
+        if not inner:
+            inner.append(b.run(scans(spark, 1, 2), lambda x: x))
+        return d
+
+    a.run(scans(spark, 1, 2, 3), other_first)
+    assert sorted(r.scan_id for r in a.output().collect()) == [1, 2, 3] and len(a.commits()) == 2
+    c = intervals.IncrementalRun(spark, str(tmp_path), attempts=1)
+
+    def again(d):
+        b.run(scans(spark, 4), lambda x: x)
+        return d
+
+    with pytest.raises(intervals.Conflict):
+        c.run(scans(spark, 4), again)
+    assert sorted(r.scan_id for r in a.output().collect()) == [1, 2, 3, 4]
+
+
+def test_records_without_number_or_rows(spark, tmp_path):
+    run = intervals.IncrementalRun(spark, str(tmp_path))
+    run.run(scans(spark, None, None, 7), lambda d: d)
+    assert run.pending(scans(spark, None, 7)).count() == 0 and run.output().count() == 3
+    run.run(scans(spark, 1).limit(0), lambda d: d)
+    assert run.output().count() == 3
 
 
 def test_dangling(spark):
