@@ -137,6 +137,22 @@ def test_dangling(spark):
     repos = spark.createDataFrame([("r",)], "repo_id string")
     files = spark.createDataFrame([], "repo_id string, path string, scanned_at timestamp, scan_id bigint, is_deleted boolean")
     assert {(r.rel_id, r.side) for r in references.dangling(rel, repos, files, fn, fn).collect()} == {(1, "target"), (3, "source"), (3, "target")}
+    assert references.dangling(rel.limit(0), repos, files, fn, fn).count() == 0
+
+    def after(*batches):
+        counts = references.no_counts(batches[0])
+        for b in batches:
+            counts = references.apply_changes(counts, b)
+        return {(r.rel_id, r.side) for r in references.leading_to(references.orphan_keys(counts), rel).collect()}
+
+    none, early = fn.limit(0), fn.filter("deleted_at is null")
+    step = lambda rels, f: references.changes(rels, repos, files, none, f)
+    first = step(rel, early)
+    assert after(first) == {(3, "source"), (3, "target")}
+    gone = step(rel.limit(0), fn.filter("deleted_at is not null"))
+    assert after(first, gone) == after(gone, first) == after(first, gone, gone) == {(1, "target"), (3, "source"), (3, "target")}
+    back = step(rel.filter("rel_id = 1").withColumn("sign", F.lit(-1)), none)
+    assert after(first, gone, back) == {(3, "source"), (3, "target")}
 
 
 def test_parsers():

@@ -108,6 +108,16 @@ def _dangling(spark: SparkSession, d: str) -> DataFrame:
     return references.dangling(*[table(spark, d, n) for n in ("code_relationships", "repositories", "code_files", "code_classes", "code_functions")])
 
 
+def p4_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The same report from kept counts: the records up to April 2025 as a first batch, the later ones as a delta on its counts."""
+    cut_at = F.lit("2025-04-01").cast("timestamp_ntz")
+    tables = [(table(spark, d, n), at) for n, at in (("code_relationships", "created_at"), ("repositories", None), ("code_files", "arrived_at"), ("code_classes", "parsed_at"), ("code_functions", "parsed_at"))]
+    first = references.changes(*[t if at is None else t.filter(F.col(at) < cut_at) for t, at in tables])
+    later = references.changes(*[t.limit(0) if at is None else t.filter((F.col(at) >= cut_at) | F.col(at).isNull()) for t, at in tables])
+    counts = references.apply_changes(references.apply_changes(references.no_counts(first), first), later)
+    return references.leading_to(references.orphan_keys(counts), tables[0][0]).select("rel_id", "side")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _dangling(spark, d).select("rel_id", "side")
 
@@ -169,6 +179,7 @@ QUERIES: dict[str, Query] = {
     "p3_hierarchy": lambda s, d: hierarchy.hierarchy(_classes(s, d)),
     "p3_descendants": lambda s, d: hierarchy.descendants(_classes(s, d)),
     "p4_found": p4_found,
+    "p4_delta": p4_delta,
     "p4_counts": lambda s, d: references.dangling_counts(_dangling(s, d)),
 }
 

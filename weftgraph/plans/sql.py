@@ -111,6 +111,7 @@ ORACLE: dict[str, str] = {
     "search_vector": "SELECT vec_id, round((1 + dot / (na * nb)) / 2, 6) AS score FROM (SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) dot, sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) na, sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) nb FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE (1 + dot / (na * nb)) / 2 > 0.3",
     "p1_found": "WITH r AS (SELECT * FROM code_files WHERE content_hash IS NOT NULL OR is_deleted IS NOT NULL), s AS (SELECT repo_id, max(started_at) since FROM index_runs WHERE status = 'success' GROUP BY 1), cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn FROM r) WHERE rn = 1), seen AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn FROM r JOIN s ON s.repo_id = r.repo_id AND arrived_at <= since) WHERE rn = 1) SELECT c.repo_id, c.path FROM cur c LEFT JOIN seen n ON n.repo_id = c.repo_id AND n.path = c.path WHERE NOT coalesce(c.is_deleted, false) AND (n.path IS NULL OR coalesce(n.is_deleted, false) OR lower(trim(c.content_hash)) <> lower(trim(n.content_hash)))",
     "p4_found": with_(["refs", "known"], "SELECT rel_id, side FROM refs r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.l = r.l AND k.id = r.id AND k.repo_id = r.key_repo)"),
+    "p4_delta": with_(["refs", "known"], "SELECT rel_id, side FROM refs r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.l = r.l AND k.id = r.id AND k.repo_id = r.key_repo)"),
     "p4_counts": with_(["refs", "known"], "SELECT rel_type, side, strftime(created_at, '%Y-%m') AS month, count(*) AS dangling FROM refs r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.l = r.l AND k.id = r.id AND k.repo_id = r.key_repo) GROUP BY 1, 2, 3"),
     "p3_hierarchy": with_(["plinks"], "SELECT c.repo_id, c.id AS class_id, w.path, w.depth, w.root, coalesce(a.n, 0) AS descendants, coalesce(a.loop, false) AS on_cycle FROM classes c LEFT JOIN way w ON w.repo_id = c.repo_id AND w.id = c.id LEFT JOIN (SELECT repo_id, anc, count(*) FILTER (node <> anc) n, bool_or(node = anc) AS loop FROM up GROUP BY 1, 2) a ON a.repo_id = c.repo_id AND a.anc = c.id", "fp AS (SELECT repo_id, child, arg_min(parent, struct_pack(ord := ord, parent := parent)) parent FROM plinks GROUP BY 1, 2), up AS (SELECT repo_id, child node, parent anc FROM plinks UNION SELECT u.repo_id, u.node, e.parent FROM up u JOIN plinks e ON e.repo_id = u.repo_id AND e.child = u.anc), way AS (SELECT c.repo_id, c.id, c.name path, CAST(0 AS BIGINT) AS depth, c.id root FROM classes c WHERE NOT EXISTS (SELECT 1 FROM fp WHERE fp.repo_id = c.repo_id AND fp.child = c.id) UNION ALL SELECT c.repo_id, c.id, w.path || '/' || c.name, w.depth + 1, w.root FROM way w JOIN fp ON fp.repo_id = w.repo_id AND fp.parent = w.id JOIN classes c ON c.repo_id = fp.repo_id AND c.id = fp.child)"),
     "p1_ledger": "WITH s AS (SELECT repo_id, max(started_at) since FROM index_runs WHERE status = 'success' GROUP BY 1), n AS (SELECT DISTINCT scan_id n, CAST(floor(scan_id / 16384) AS BIGINT) AS block FROM code_files JOIN s USING (repo_id) WHERE (content_hash IS NOT NULL OR is_deleted IS NOT NULL) AND arrived_at <= since), g AS (SELECT n, block, n - row_number() OVER (PARTITION BY block ORDER BY n) AS run FROM n) SELECT block, min(n) AS lo, max(n) AS hi FROM g GROUP BY block, run",
