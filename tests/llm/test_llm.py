@@ -8,7 +8,9 @@ from weftgraph.llm.rules import RULES
 
 def test_tokens_equal_whole_encoding(spark):
     texts = ["", None, "don't stop  \n\n now 'r'e <|endoftext|> ", "日本語 text " * 300, "a" * 5000, "x  y\t\tz\r\n" * 400]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    texts.append("".join(chr(0x4E00 + i * i % 2999) for i in range(60_000)))
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows + rows[2:4], "doc_id bigint, text string")
     enc, _ = tokens.encoder(tokens.TOKENIZERS, "byte_bpe_50k")
     got = {r.doc_id: r.ids for r in tokens.encode_corpus(d).collect()}
     assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
@@ -19,11 +21,15 @@ def test_joints(mean):
     enc, pat = tokens.encoder(tokens.TOKENIZERS, "byte_bpe_50k")
     text = "we'll  see 've it's\n\n  done 123,456 ---- 'll'l x'rex 日本" * 9
     parts = []
-    for c in tokens.cuts([text], mean=mean)[0]:
+    for c, _ in tokens.cuts([text], mean=mean, safe=1)[0]:
         found = pat.findall(c)
         tail = tokens.tail_of(found)
         parts.append((c, enc.encode_ordinary(c), len(tail), sum(len(enc.encode_ordinary(p)) for p in pat.findall(tail))))
     assert tokens.join_chunks(parts, enc.encode_ordinary, pat) == enc.encode_ordinary(text)
+    for t in (text, "a b " * 300, "x\u00a0 y\u3000 z\x1c q\t\n" * 60, "日本" * 200, "  \n \n\n a" * 90):
+        cut = tokens.cuts([t], mean=mean, safe=1)[0]
+        assert "".join(c for c, _ in cut) == t
+        assert tokens.repaired([c for c, _ in cut], [enc.encode_ordinary(c) for c, _ in cut], [g for _, g in cut], enc.encode_ordinary, pat) == enc.encode_ordinary(t)
 
 
 def test_broken_sources(spark):
