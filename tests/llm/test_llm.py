@@ -107,6 +107,22 @@ def test_mixture_caps_repeats(spark):
     m = mixture.mixture(docs, t)
     assert m.groupBy("doc_id").count().join(m.select("doc_id", "source"), "doc_id").filter("(source = 'small' and count > 3) or (source = 'a_b' and count > 1)").count() == 0
     assert {r.source: r.tokens for r in mixture.report(docs, t).collect()}["none"] == 0
+    # a recount of the mixture gives the report
+    rows = m.collect()
+    for r in mixture.report(docs, t).collect():
+        mine = [x for x in rows if x.source == r.source]
+        uses = {d: sum(x.doc_id == d for x in mine) for d in {x.doc_id for x in mine}}
+        assert (r.tokens, r.uses, r.texts, r.max_uses) == (sum(x.tokens for x in mine), len(mine), len(uses), max(uses.values(), default=0))
+    full = {r.source: r for r in mixture.report(docs, t, total=mixture.available(docs, t)).collect()}
+    assert full["small"].max_uses == 3 and full["small"].short > 0 and full["a_b"].max_uses == 1 and full["none"].tokens == 0
+    assert mixture.mixture(docs.limit(0), t).count() == 0 and mixture.mixture(docs, t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("quota", [[4096 * 9], [4096 * 1000, 4096 * 3, 5], [1, 1, 1], [4096 * 700, 4096 * 701, 4097]])
+def test_slots_never_run_short(spark, quota):
+    q = spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(quota)], "source string, quota bigint")
+    got = {r.source: r["count"] for r in mixture.slots(q).groupBy("source").count().collect()}
+    assert all(got[f"s{i}"] >= -(-x // mixture.BLOCK) for i, x in enumerate(quota))
 
 
 def test_prose(spark):

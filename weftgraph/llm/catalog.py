@@ -51,6 +51,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_shares_full(spark: SparkSession, d: str) -> DataFrame:
+    """The report for a total of all tokens there are: small sources fall short, no large one is cut for their sake."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixture.report(docs, targets, total=mixture.available(docs, targets))
+
+
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of every document with percentiles, robust z-scores and the number of tails."""
     stats = cut(quality.statistics(table(spark, d, "documents")))
@@ -62,7 +68,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose(stats).select("doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_shares_full": p8_shares_full, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 ORACLE: dict[str, str] = {}
 
