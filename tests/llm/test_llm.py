@@ -56,9 +56,10 @@ def test_python_compound_statements(spark):
 def test_handwritten(spark):
     ref = "\n".join(f"int name{i}(int value{i}) {{ return other{i} + {i}; }}" for i in range(40))
     d = [("vendor/a.c", "int x;"), ("b.js", "// Code generated by x 1.0. DO NOT EDIT.\nf();"), ("c.py", "x = '// @generated'\n"), ("d.py", "# Not generated code, although tools reads it\nx = 1\n"), ("e.c", ref + "\nint more;"), ("src/vendors/f.py", "x = 1"), ("g.min.js", "f()"), ("h.py", "D = [\n" + "1, 22, 333,\n" * 60 + "]\n"), ("i.py", None)]
+    d += [("j.py", 'BLOB = "' + "aB3//x9Qz/k" * 40 + '"\n'), ("k.go", "// Diese Datei wurde von x 1.2 erzeugt und wird überschrieben.\npackage a\n"), ("l.js", "f();"), ("m.py", "X = [1, 2, 3]\n"), (None, "x")]
     up = spark.createDataFrame([(ref,)], "source string")
     got = {r.path for r in handwritten.not_handwritten(spark.createDataFrame([("r", p, s) for p, s in d], "repo_id string, path string, source string"), up).collect()}
-    assert got == {"vendor/a.c", "b.js", "e.c", "g.min.js", "h.py"}
+    assert got == {"vendor/a.c", "b.js", "e.c", "g.min.js", "h.py", "j.py", "k.go"}
 
 
 def test_docstrings():

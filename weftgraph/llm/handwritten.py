@@ -43,6 +43,14 @@ NOTICES = {
     "vendored from": r"^vendored from ",
     "contributors": r"^copyright .*contributors",
     "minified": r"^(?:this file (?:was|is) )?minified (?:by|with|using)",
+    "wurde von": r"^diese datei wurde (?:automatisch )?von .*(?:erzeugt|generiert|erstellt)\b",
+    "automatisch": r"^(?:diese datei wurde )?automatisch (?:erzeugt|generiert|erstellt)\b",
+    "généré": r"^(?:(?:ce |le )?(?:fichier|code) )?(?:a été )?(?:auto)?généré (?:automatiquement )?(?:par|à partir)",
+    "generado": r"^(?:(?:este |el )?(?:archivo|fichero|código) )?(?:(?:fue|ha sido|es) )?(?:auto)?generado (?:automáticamente )?(?:por|a partir)",
+    "gerado": r"^(?:(?:este |o )?(?:arquivo|ficheiro|código) )?(?:foi )?gerado (?:automaticamente )?(?:por|a partir)",
+    "generato": r"^(?:(?:questo |il )?(?:file|codice) )?(?:è stato )?generato (?:automaticamente )?(?:da|a partire)",
+    "自动生成": r"^(?:此|本|该)?(?:文件|代码)?(?:是)?由?.*自动生成",
+    "自動生成": r"^(?:この|本)?(?:ファイル|コード)?.*自動生成",
 }
 #: A line with one of these tells about generated code, or that it is none any more.
 _STORY = re.compile(r"\b(?:not generated|no longer|used to be|says? it|so that nobody|although|method stub|please edit)\b")
@@ -88,43 +96,61 @@ def notice(source: str) -> bool:
 
 _NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)\b")
 _LONG_STRING = re.compile(r"[\"'`][A-Za-z0-9+/=\\|,;:. _-]{60,}[\"'`]")
-_COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|^\s*#(?!include|define)[^\n]*", re.M)
+_COMMENT = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|/\*[\s\S]*?\*/|//[^\n]*|^\s*#(?!include|define)[^\n]*", re.M)
 _DOC = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
 _NUMBERED = re.compile(r"(?<![A-Za-z0-9])_?(?:[gs]et_?)?(?:[a-zA-Z]|field|Field)_?(\d+)_?\b")
 _ACCESSOR = re.compile(r"(?:[gs]et_?|\b_?)(?:[a-zA-Z]|field|Field)_?4_?\b")
 _DIGITS, _QUOTES = b"0123456789", b"\"'"
 
 
+def _kept(m: re.Match[str]) -> str:
+    """Strings stay as they are, comments go; what looks like a comment in a string is none."""
+    return m.group(1) or ""
+
+
+# What makes a text data or minified; shares of the text without comments. A list of a few numbers or a long line in a
+# hand-written file reaches none of them.
+#: Literals that a table of data holds at least.
+LITERALS = 30
+NUMBER_SHARE, STRING_SHARE, BLOB_SHARE = 0.55, 0.7, 0.5
+#: Blanks of a minified text at most; characters of its lines on average, or of one line and its share.
+BLANKS, MEAN_LINE, ONE_LINE, ONE_SHARE = 0.12, 150, 400, 0.3
+
+
 def machine_made(source: str) -> bool:
-    """Minified text, data kept as code, or accessors numbered by a tool."""
+    """Minified text, data kept as code, or accessors numbered by a tool.
+
+    Counts of bytes come first and rule out most texts: no criterion can hold where they fail.
+    """
     n = len(source)
-    if n < 150:
-        return False
-    lines = source.count("\n") + 1
-    if n / lines > 60:
-        body = _DOC.sub("", _COMMENT.sub("", source)).strip()
-        lengths = [len(x) for x in body.split("\n") if x.strip()] or [0]
-        if sum(lengths) > 300 and body.count(" ") < 0.12 * len(body) and (sum(lengths) / len(lengths) > 150 or max(lengths) > max(400, 0.3 * sum(lengths))):
-            return True
     raw = source.encode("utf-8", "replace")
     digits = len(raw) - len(raw.translate(None, _DIGITS))
     quotes = len(raw) - len(raw.translate(None, _QUOTES))
+    longest = max(map(len, source.split("\n")))
+    body = None
+    if longest >= MEAN_LINE:
+        body = _COMMENT.sub(_kept, source)
+        bare = _DOC.sub("", body).strip()
+        lengths = [len(x) for x in bare.split("\n") if x.strip()] or [0]
+        whole = sum(lengths)
+        if bare.count(" ") < BLANKS * len(bare) and (whole / len(lengths) > MEAN_LINE or max(lengths) > max(ONE_LINE, ONE_SHARE * whole)):
+            return True
+    if longest >= 60 and _RUN.search(source):
+        body = body or _COMMENT.sub(_kept, source)
+        if sum(len(x) for x in _LONG_STRING.findall(body)) > BLOB_SHARE * len(body):
+            return True
     if digits > 0.15 * n or (digits > 0.04 * n and quotes > 0.05 * n):
-        body = _COMMENT.sub("", source)
+        body = body or _COMMENT.sub(_kept, source)
         numbers = _NUMBER.findall(body)
-        if len(numbers) >= 30 and sum(map(len, numbers)) + 2 * len(numbers) > 0.55 * len(body):
+        if len(numbers) >= LITERALS and sum(map(len, numbers)) + 2 * len(numbers) > NUMBER_SHARE * len(body):
             return True
-    if n / lines > 100 or longest_run(source):
-        body = _COMMENT.sub("", source)
-        if sum(len(x) for x in _LONG_STRING.findall(body)) > 0.5 * len(body):
-            return True
-    if quotes >= 60 and quotes > 0.05 * n:
-        body = _COMMENT.sub("", source)
+    if quotes >= 2 * LITERALS and quotes > 0.05 * n:
+        body = body or _COMMENT.sub(_kept, source)
         strings = re.findall(r"\"[^\"\n]*\"|'[^'\n]*'", body)
-        if len(strings) >= 30 and sum(map(len, strings)) + len(strings) > 0.7 * len(body):
+        if len(strings) >= LITERALS and sum(map(len, strings)) + len(strings) > STRING_SHARE * len(body):
             return True
     if digits > 0.01 * n and _ACCESSOR.search(source):
-        body = _COMMENT.sub("", source)
+        body = body or _COMMENT.sub(_kept, source)
         found = [int(x) for x in _NUMBERED.findall(body)]
         return set(found) >= set(range(5)) and len(found) >= 0.3 * max(1, body.count("\n"))
     return False
@@ -133,10 +159,6 @@ def machine_made(source: str) -> bool:
 _RUN = re.compile(r"[A-Za-z0-9+/=]{60}")
 
 
-def longest_run(source: str) -> bool:
-    return _RUN.search(source) is not None
-
-
 def by_path(path: Column) -> Column:
     folders = F.transform(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.lower)
     inside = F.arrays_overlap(folders, F.array(*[F.lit(d.lower()) for d in VENDOR_DIRS + GENERATED_DIRS]))
@@ -194,6 +216,12 @@ class Reference:
         return any(c >= SIMILAR * (len(x) + self.sizes[i] - c) for i, c in counts.items())
 
 
+@lru_cache(maxsize=2)
+def _indexed(sources: tuple[str, ...]) -> Reference:
+    """The index of the reference files, built once per worker process."""
+    return Reference(list(sources))
+
+
 #: Reference files are held by every worker only up to this many characters.
 REFERENCE_CHARS = 50_000_000
 
@@ -203,10 +231,10 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
     total = upstream.agg(F.sum(F.length("source"))).first()[0] or 0
     if total > REFERENCE_CHARS:
         raise ValueError(f"{total} characters of reference files; at most {REFERENCE_CHARS} are compared in one run: split the reference")
-    reference = [r[0] for r in upstream.filter("source is not null").select("source").collect()]
+    reference = tuple(sorted(r[0] for r in upstream.filter("source is not null").select("source").distinct().collect()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Reference(reference)
+        index = _indexed(reference)
         for b in batches:
             hit = [bool(p) or (bool(s) and (notice(s) or machine_made(s) or index.copied(s))) for s, p in zip(b["source"], b["by_path"], strict=True)]
             yield pd.DataFrame({"repo_id": b["repo_id"], "path": b["path"], "by_path": b["by_path"], "found": hit})
