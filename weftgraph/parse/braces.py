@@ -1,6 +1,6 @@
 """Entities of brace languages (Java, TypeScript and JavaScript, Go, Rust, C and C++) by a lexical scan.
 
-Strings and comments are blanked out, braces are matched, and declarations are found by their heads; what a declaration
+Strings and comments are masked, braces are matched, and declarations are found by their heads; what a declaration
 belongs to is the innermost type whose braces hold it. This covers declarations as people lay them out; it is no full
 parser, and heads that macros or unusual layouts hide are missed.
 """
@@ -15,6 +15,7 @@ from weftgraph.parse.records import Records
 _BLANK = {
     "rust": r'//[^\n]*|/\*[\s\S]*?\*/|r(#*)"[\s\S]*?"\1|"(?:\\[\s\S]|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'',
     "go": r'//[^\n]*|/\*[\s\S]*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'',
+    "ts": r"//[^\n]*|/\*[\s\S]*?\*/|(?<=[(,=:\[!&|?{};+])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`",
     "": r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`",
 }
 _CONTROL = {"if", "for", "while", "switch", "catch", "return", "else", "do", "synchronized", "new", "throw", "sizeof", "with", "function", "await", "match", "loop", "super", "this", "assert", "case", "typeof", "defined", "elif"}
@@ -45,7 +46,7 @@ def family(lang: str) -> str:
 class _Text:
     def __init__(self, lang: str, source: str):
         self.source = source
-        self.masked = re.sub(_BLANK.get(lang, _BLANK[""]), lambda m: re.sub(r"[^\n]", " ", m.group()), source)
+        self.masked = re.sub(_BLANK.get(lang, _BLANK[""]), lambda m: re.sub(r"[^\n]", "\x02", m.group()), source)
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
         self.close: dict[int, int] = {}
         stack = []

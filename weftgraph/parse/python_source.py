@@ -7,17 +7,15 @@ import ast
 from weftgraph.parse.records import Records
 
 
-def _dotted(node: ast.AST) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        base = _dotted(node.value)
-        return f"{base}.{node.attr}" if base else node.attr
-    if isinstance(node, ast.Call):
-        return _dotted(node.func)
-    if isinstance(node, ast.Subscript):
-        return _dotted(node.value)
-    return None
+def _base(node: ast.AST) -> str | None:
+    """A base class written as a name or a dotted name; subscripts and calls name no class."""
+    return node.id if isinstance(node, ast.Name) else ast.unparse(node) if isinstance(node, ast.Attribute) else None
+
+
+def _mark(node: ast.AST) -> str | None:
+    """The last name of a decorator, called or not."""
+    node = node.func if isinstance(node, ast.Call) else node
+    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
 
 
 def _text(node: ast.AST | None) -> str | None:
@@ -90,10 +88,10 @@ def _usage(out: Records, node: ast.AST, function: str) -> None:
 
 
 def _class(out: Records, node: ast.ClassDef, function: str | None) -> None:
-    bases = [b for b in map(_dotted, node.bases) if b]
-    marks = [d for d in map(_dotted, node.decorator_list) if d]
+    bases = [b for b in map(_base, node.bases) if b]
+    marks = [d for d in map(_mark, node.decorator_list) if d]
     cid = out.klass(
-        node.name, node.name, ast.get_docstring(node), node.lineno, node.end_lineno, any(b.split(".")[-1] == "ABC" for b in bases) or any("abstractmethod" in d for d in marks), marks, bases, [], "class"
+        node.name, node.name, ast.get_docstring(node), node.lineno, node.end_lineno, any(b.split(".")[-1] == "ABC" for b in bases) or "abstractmethod" in marks, marks, bases, [], "class"
     )
     for b in bases:
         out.detect(node.name, b, "EXTENDS", 0.95, "AST_inheritance", node.lineno)
@@ -106,7 +104,7 @@ def _function(out: Records, node: ast.FunctionDef | ast.AsyncFunctionDef, owner:
     params = [{"name": p.arg, "type": _text(p.annotation), "default": _text(a.defaults[i - blank]) if i >= blank else None} for i, p in enumerate(a.args)]
     shown = ", ".join(p["name"] + (f": {p['type']}" if p["type"] else "") + (f" = {p['default']}" if p["default"] else "") for p in params)
     returns = _text(node.returns)
-    marks = [d for d in map(_dotted, node.decorator_list) if d]
+    marks = [d for d in map(_mark, node.decorator_list) if d]
     fid = out.function(
         node.name, owner, f"({shown})" + (f" -> {returns}" if returns else ""), ast.get_docstring(node), node.lineno, node.end_lineno,
         is_async=isinstance(node, ast.AsyncFunctionDef), is_static="staticmethod" in marks, returns=returns, complexity=_complexity(node), params=params, visibility=_visibility(node.name),

@@ -17,6 +17,7 @@ from weftgraph.functions.text import bm25, cosine, dot, joined, unit
 from weftgraph.graph import CodeGraph
 from weftgraph.operators import paths
 from weftgraph.operators.dedup import keep_first
+from weftgraph.operators.ranking import top_k
 
 # Names that are never reported as dead code.
 NEVER_DEAD = [
@@ -211,6 +212,24 @@ def search_substring(graph: CodeGraph, text: str, repo_id: str | None = None, ki
     return reduce(DataFrame.unionByName, out)
 
 
+def search_semantic(graph: CodeGraph, text: str, limit: int = 20, repo_id: str | None = None, vector: list[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Functions, classes and files for a text: by vectors (label, repo_id, id, embedding) of functions and classes where a
+    query vector is given, the best ``limit`` of each label merged by score; else by substring, ``limit`` per kind, functions
+    before classes before files. Either way the first ``limit`` rows; ties go by id."""
+    g = narrowed(graph, repo_id)
+    if vector is None or vectors is None:
+        found = top_k(search_substring(g, text), [F.col("repo_id"), F.col("id")], limit, ["branch"]).drop("rank")
+        return top_k(found, [F.col("branch"), F.col("repo_id"), F.col("id")], limit)
+    scored = vectors.select("label", "repo_id", "id", ((1 + cosine(F.col("embedding"), F.lit(vector))) / 2).alias("score")).filter("score > 0.3")
+    best = top_k(scored.filter(F.col("label").isin("Function", "Class")), [F.col("score").desc(), F.col("repo_id"), F.col("id")], limit, ["label"]).drop("rank")
+    file = g.rel("DEFINES_CLASS").groupBy("repo_id", F.col("dst_id").alias("id")).agg(F.min("src_id").alias("filePath"))
+    f = _with_file(g, g.functions, False).select(F.lit("Function").alias("label"), "repo_id", "id", "name", "docstring", "filePath", "start_line")
+    c = g.classes.join(file, ["repo_id", "id"], "left").select(F.lit("Class").alias("label"), "repo_id", "id", "name", "docstring", "filePath", "start_line")
+    out = f.unionByName(c).join(F.broadcast(best), ["label", "repo_id", "id"])  # at most two times ``limit`` rows
+    out = out.select("repo_id", F.lower("label").alias("type"), "id", "name", F.col("docstring").alias("description"), F.col("filePath").alias("location"), F.col("start_line").alias("startLine"), "score")
+    return top_k(out, [F.col("score").desc(), F.col("repo_id"), F.col("id")], limit)
+
+
 def search_vector(vectors: DataFrame, query: list[float] | DataFrame, key: str = "vec_id", column: str = "embedding", floor: float = 0.3) -> DataFrame:
     """Exact k-NN scores (1 + cosine) / 2 above ``floor``. The query is one vector, or a one-row table (key, column)."""
     if isinstance(query, DataFrame):
