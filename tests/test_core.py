@@ -183,8 +183,8 @@ def test_graph_questions_from_every_function(spark):
             seen |= level
             reached |= {(repo, start, x, k) for x in level}
     assert len({x[:2] for x in reached}) > 43
-    assert {(r.repo_id, r.function_id, r.id, r.distance) for r in every["impact_all"](spark, d).collect()} == {x for x in reached if (x[0], x[2]) in names}
-    assert {(r.repo_id, r.source_id, r.callee_id, r.depth) for r in every["call_graph_all"](spark, d).collect()} == {x for x in walked if (x[0], x[2]) in names}
+    assert {(r.repo_id, r.function_id, r.id, r.distance) for r in every["impact"](spark, d).collect()} == {x for x in reached if (x[0], x[2]) in names}
+    assert {(r.repo_id, r.source_id, r.callee_id, r.depth) for r in every["call_graph"](spark, d).collect()} == {x for x in walked if (x[0], x[2]) in names}
     uses = defaultdict(list)
     for r in g.rel("CALLS", "USES_CLASS").select("repo_id", "src_id", "rel_type", "dst_id").collect():
         uses[r.repo_id, r.src_id].append((r.rel_type, r.dst_id))
@@ -193,7 +193,7 @@ def test_graph_questions_from_every_function(spark):
         for (other, b), y in uses.items():
             if other == repo and a != b and (repo, a) in names and (repo, b) in names and (n := sum(u in y for u in x)):
                 same[repo, a, b] = round(n / len(x), 9)
-    assert {(r.repo_id, r.function_id, r.id): round(r.similarity, 9) for r in every["similar_functions_all"](spark, d).collect()} == same
+    assert {(r.repo_id, r.function_id, r.id): round(r.similarity, 9) for r in every["similar_functions"](spark, d).collect()} == same
 
 
 def test_vectors_for_every_query(spark):
@@ -201,5 +201,5 @@ def test_vectors_for_every_query(spark):
     v = {r.vec_id: r.embedding for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
     length = {k: sum(x * x for x in a) ** 0.5 for k, a in v.items()}
     want = {(k, i): s for k in v if k % 20 == 0 for i in v if (s := (1 + sum(x * y for x, y in zip(v[k], v[i], strict=True)) / length[k] / length[i]) / 2) > 0.3}
-    got = {(r.query_id, r.vec_id): r.score for r in catalog.queries()["search_vector_all"](spark, d).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in catalog.queries()["search_vector"](spark, d).collect()}
     assert len({k for k, _ in want}) > 1 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)

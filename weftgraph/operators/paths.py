@@ -11,44 +11,40 @@ from weftgraph.session import cut
 def walks(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Callees at each depth 1..``depth`` of the seeds (repo_id, id), distinct per depth, over edge-unique trails.
 
-    Up to depth 2 an edge can repeat only as a self-loop taken twice, so the trail test is a residual predicate; beyond
-    that the trail carries its edges as an array. The frontier is deduplicated per level where the trail needs no memory.
+    Up to depth 2 an edge can repeat only as a self-loop taken twice, so a level is distinct (start, node) pairs and the
+    trail test a predicate on the loop. Beyond, trails carry the nodes they passed: an edge is used again only if its two
+    ends stand side by side in them.
     """
-    trails = _trails(edges, seeds, depth)
-    return trails.select("repo_id", "start_id", F.col("at").alias("id"), "depth").distinct()
-
-
-def _trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    e = edges.select("repo_id", F.col("src_id").alias("at"), F.col("dst_id").alias("next"), F.xxhash64("src_id", "dst_id").alias("edge"))
-    level = seeds.select("repo_id", F.col("id").alias("start_id"), F.col("id").alias("at"), F.array().cast("array<bigint>").alias("used"))
-    out = None
+    e = edges.select("repo_id", F.col("src_id").alias("at"), F.col("dst_id").alias("next")).distinct()
+    first = seeds.select("repo_id", F.col("id").alias("start_id"), F.col("id").alias("at")).distinct().join(e, ["repo_id", "at"])
+    first = first.select("repo_id", "start_id", F.array("at", "next").alias("trail"), F.col("next").alias("at"))
+    level, out = first, None
     for d in range(1, depth + 1):
-        level = (
-            level.join(e, ["repo_id", "at"])
-            .filter(~F.array_contains("used", F.col("edge")))
-            .select("repo_id", "start_id", F.col("next").alias("at"), F.concat("used", F.array("edge")).alias("used"))
-        )
-        here = level.select("repo_id", "start_id", "at", F.lit(d).alias("depth"))
+        if d == 2 and depth == 2:
+            level = level.join(e, ["repo_id", "at"]).filter(~((F.col("at") == F.col("start_id")) & (F.col("next") == F.col("at")))).select("repo_id", "start_id", F.col("next").alias("at")).distinct()
+        elif d > 1:
+            used = F.exists(F.sequence(F.lit(1), F.size("trail") - 1), lambda i: (F.element_at("trail", i) == F.col("at")) & (F.element_at("trail", i + 1) == F.col("next")))
+            level = level.join(e, ["repo_id", "at"]).filter(~used).select("repo_id", "start_id", F.concat("trail", F.array("next")).alias("trail"), F.col("next").alias("at"))
+        here = level.select("repo_id", "start_id", F.col("at").alias("id"), F.lit(d).alias("depth"))
         out = here if out is None else out.unionByName(here)
-    return out
+    return out.distinct()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Minimum distance 1..``depth`` from each seed by breadth-first levels; the seed itself is left out.
 
-    Each level is deduplicated and anti-joined with what is known, so it never grows past (seed, node) pairs.
+    A level is the distinct (seed, node) pairs one edge beyond the level before, cut from its lineage; the least distance of
+    a pair is taken once, at the end.
     """
     e = edges.select("repo_id", F.col("src_id").alias("at"), F.col("dst_id").alias("next"))
     front = seeds.select("repo_id", F.col("id").alias("start_id"), F.col("id").alias("at"))
     found = None
     for d in range(1, depth + 1):
-        front = front.join(e, ["repo_id", "at"]).select("repo_id", "start_id", F.col("next").alias("at")).distinct()
-        front = front.filter(F.col("at") != F.col("start_id"))
-        if found is not None:
-            front = front.join(found.select("repo_id", "start_id", F.col("id").alias("at")), ["repo_id", "start_id", "at"], "left_anti")
+        front = front.join(e, ["repo_id", "at"]).select("repo_id", "start_id", F.col("next").alias("at")).filter("at <> start_id").distinct()
+        front = cut(front) if d < depth else front
         here = front.select("repo_id", "start_id", F.col("at").alias("id"), F.lit(d).alias("distance"))
         found = here if found is None else found.unionByName(here)
-    return found
+    return found.groupBy("repo_id", "start_id", "id").agg(F.min("distance").alias("distance"))
 
 
 def peel(edges: DataFrame, rounds: int) -> DataFrame:

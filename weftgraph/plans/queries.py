@@ -18,6 +18,7 @@ from weftgraph.graph import CodeGraph
 from weftgraph.operators import paths
 from weftgraph.operators.dedup import keep_first
 from weftgraph.operators.ranking import top_k
+from weftgraph.session import cut
 
 # Names that are never reported as dead code.
 NEVER_DEAD = [
@@ -83,15 +84,9 @@ def class_by_name(graph: CodeGraph, name: str | None = None, repo_id: str | None
     return out.select("repo_id", "id", "name", "docstring", F.col("start_line").alias("startLine"), "filePath", blank("parentClasses"), blank("methods"))
 
 
-def top_callers(graph: CodeGraph) -> DataFrame:
-    """(repo_id, id): of each repository the function with the most outgoing calls; ties go to the smallest id."""
-    n = graph.rel("CALLS").groupBy("repo_id", F.col("src_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return keep_first(n, ["repo_id"], [F.col("n").desc(), F.col("id")]).select("repo_id", "id")
-
-
 def call_graph(graph: CodeGraph, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """Callees of the seeds at each depth 1..``depth``; a callee may appear at several depths, the seed through a cycle."""
-    found = paths.walks(graph.rel("CALLS"), seeds, max(1, depth)).withColumnsRenamed({"start_id": "source_id", "id": "callee_id"})
+    found = paths.walks(cut(graph.rel("CALLS").select("repo_id", "src_id", "dst_id")), seeds, max(1, depth)).withColumnsRenamed({"start_id": "source_id", "id": "callee_id"})
     return found.join(_named(graph, "Function", "callee_id", "callee_name"), ["repo_id", "callee_id"]).select("repo_id", "source_id", "callee_id", "callee_name", "depth")
 
 
@@ -106,7 +101,7 @@ def callers(graph: CodeGraph, function_id: str | None = None, repo_id: str | Non
 
 def change_impact(graph: CodeGraph, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """What the seeds reach over CALLS within ``max_depth``, with the least distance; the seed itself is left out."""
-    hit = paths.reach(graph.rel("CALLS"), seeds, max(1, max_depth))
+    hit = paths.reach(cut(graph.rel("CALLS").select("repo_id", "src_id", "dst_id")), seeds, max(1, max_depth))
     f = _with_file(graph, graph.functions, False).select("repo_id", "id", "name", "filePath", F.col("start_line").alias("startLine"))
     return hit.join(f, ["repo_id", "id"]).select("repo_id", F.col("start_id").alias("function_id"), "id", "name", "filePath", "startLine", "distance")
 

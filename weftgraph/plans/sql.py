@@ -27,7 +27,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "refs": ("SELECT rel_id, repo_id, CASE WHEN sl = 'Repository' THEN source_id ELSE repo_id END key_repo, 'source' side, sl l, source_id id, rel_type, created_at FROM code_relationships JOIN labels USING (rel_type) UNION ALL SELECT rel_id, repo_id, repo_id, 'target', dl, target_id, rel_type, created_at FROM code_relationships JOIN labels USING (rel_type)", ["labels"]),
     "plinks": ("SELECT c.repo_id, c.id child, k.id parent, min(c.ord) ord FROM (SELECT repo_id, id, ord, regexp_extract(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(e, '<[^<>]*>|\\[[^\\[\\]]*\\]', '', 'g'), '<[^<>]*>|\\[[^\\[\\]]*\\]', '', 'g'), '[<\\[(].*$', ''), '[*&]', ' ', 'g')), '([^\\s.:]+)$', 1) bare FROM (SELECT repo_id, id, unnest(list_concat(coalesce(base_classes, []), coalesce(interfaces, []))) e, unnest(range(len(list_concat(coalesce(base_classes, []), coalesce(interfaces, []))))) ord FROM classes)) c JOIN classes k ON k.repo_id = c.repo_id AND k.name = c.bare AND c.bare <> '' GROUP BY ALL", ["classes"]),
     "calls": ("SELECT repo_id, src, dst FROM edges WHERE rel_type = 'CALLS'", ["edges"]),
-    "seeds": ("SELECT repo_id, src id FROM (SELECT repo_id, src, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, src) rn FROM calls GROUP BY 1, 2) WHERE rn = 1", ["calls"]),
+    "seeds": ("SELECT repo_id, id FROM funcs", ["funcs"]),
 }
 
 
@@ -93,7 +93,7 @@ ORACLE: dict[str, str] = {
     "orphans": with_(["funcs", "classes", "edges"], "SELECT 'Function' AS label, repo_id, id, name FROM funcs f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = f.repo_id AND e.dst = f.id AND e.rel_type IN ('DEFINES_FUNCTION', 'HAS_METHOD')) UNION ALL SELECT 'Class', repo_id, id, name FROM classes c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = c.repo_id AND e.dst = c.id AND e.rel_type = 'DEFINES_CLASS')"),
     "integrity": with_(["funcs", "classes"], "SELECT DISTINCT repo_id, source_id AS source, rel_type AS rel, target_id AS target_node_id FROM code_relationships r WHERE (rel_type = 'CALLS' AND NOT EXISTS (SELECT 1 FROM funcs f WHERE f.repo_id = r.repo_id AND f.id = r.target_id)) OR (rel_type = 'EXTENDS' AND NOT EXISTS (SELECT 1 FROM classes f WHERE f.repo_id = r.repo_id AND f.id = r.target_id))"),
     "language_histogram": with_(["classes"], "SELECT language_type, count(*) AS n FROM classes GROUP BY 1"),
-    "classes_many_methods": with_(["classes", "edges"], "SELECT c.repo_id, c.id, c.name, count(*) AS methods FROM classes c JOIN edges e ON e.repo_id = c.repo_id AND e.src = c.id WHERE e.rel_type = 'HAS_METHOD' GROUP BY 1, 2, 3 HAVING count(*) > 3"),
+    "classes_many_methods": with_(["classes", "edges"], "SELECT c.repo_id, c.id, c.name, count(*) AS methods FROM classes c JOIN edges e ON e.repo_id = c.repo_id AND e.src = c.id WHERE e.rel_type = 'HAS_METHOD' GROUP BY 1, 2, 3 HAVING count(*) > 2"),
     "implementations": with_(["classes", "edges"], "SELECT e.repo_id, a.id, a.name, b.id AS interface_id, b.name AS interface FROM edges e JOIN classes a ON a.repo_id = e.repo_id AND a.id = e.src JOIN classes b ON b.repo_id = e.repo_id AND b.id = e.dst WHERE e.rel_type = 'IMPLEMENTS'"),
     "staleness": with_(["repos"], "SELECT repo_id, last_indexed, round((epoch(TIMESTAMP '2025-07-01 00:00:00') - floor(epoch(last_indexed))) / 3600.0, 6) AS age_hours, coalesce((epoch(TIMESTAMP '2025-07-01 00:00:00') - floor(epoch(last_indexed))) / 3600.0 > 24, true) AS stale FROM repos"),
     "resources": with_(["repos"], "SELECT 'repository://' || repo_id AS uri, name, coalesce(description, '') AS description FROM repos"),
@@ -106,9 +106,14 @@ ORACLE: dict[str, str] = {
     "incremental_merge": with_(["files"], "SELECT repo_id, path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn FROM code_files WHERE arrived_at < TIMESTAMP '2025-05-01') WHERE rn = 1 AND NOT coalesce(is_deleted, false) AND (repo_id, path) NOT IN (SELECT (repo_id, path) FROM code_files WHERE arrived_at >= TIMESTAMP '2025-05-01') UNION ALL SELECT repo_id, path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn2 FROM code_files WHERE (repo_id, path) IN (SELECT (repo_id, path) FROM code_files WHERE arrived_at >= TIMESTAMP '2025-05-01')) WHERE rn2 = 1 AND NOT coalesce(is_deleted, false)"),
     "file_scan_metadata": "SELECT DISTINCT repo_id, path, list_extract(string_split(path, '/'), -1) AS name, regexp_extract(path, '\\.[^./]*$') AS suffix, CAST(len(string_split(source, chr(10))) AS INTEGER) AS lines, md5(source) AS hash FROM file_sources",
     "duplicate_files": "SELECT md5(source) AS hash, count(*) AS copies, min(repo_id || '/' || path) AS first_path FROM (SELECT DISTINCT repo_id, path, source FROM file_sources) GROUP BY 1 HAVING count(*) > 1",
-    "unique_keys": "SELECT repo_id, id, count(*) AS n FROM code_classes GROUP BY 1, 2 HAVING count(*) > 1",
+    "unique_keys": "SELECT label, repo_id, id, count(*) AS n FROM (SELECT 'Class' AS label, repo_id, id FROM code_classes UNION ALL SELECT 'Function', repo_id, id FROM code_functions UNION ALL SELECT 'File', repo_id, path FROM code_files) GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "fulltext_index": with_(["classes"], "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT repo_id, id, term, count(*) tf FROM (SELECT repo_id, id, unnest(list_filter(regexp_split_to_array(lower(coalesce(docstring, '')), '[^a-z0-9_]+'), lambda x: x <> '')) term FROM classes) GROUP BY 1, 2, 3) GROUP BY 1"),
-    "search_vector": "SELECT vec_id, round((1 + dot / (na * nb)) / 2, 6) AS score FROM (SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) dot, sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) na, sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) nb FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE (1 + dot / (na * nb)) / 2 > 0.3",
+    "search_vector": "SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, round((1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))) / 2, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE score > 0.3",
+    "search_vector_top": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round((1 + list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))) / 2, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE score > 0.3) WHERE rank <= 10",
+    "search_fulltext": with_(["funcs"], "SELECT d.repo_id, d.id, d.name, d.signature, d.docstring, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM (SELECT repo_id, id, len, w, len(list_filter(t, lambda x: x = w)) tf FROM (SELECT *, unnest(['and', 'buffer', 'cache', 'index', 'the']) w FROM doc)) h JOIN (SELECT w, count(*) df FROM (SELECT t, unnest(['and', 'buffer', 'cache', 'index', 'the']) w FROM doc) WHERE list_contains(t, w) GROUP BY 1) USING (w) CROSS JOIN (SELECT count(*) n, avg(len) avg_len FROM doc) JOIN funcs d ON d.repo_id = h.repo_id AND d.id = h.id WHERE tf > 0 GROUP BY ALL", "doc AS (SELECT repo_id, id, t, len(t) len FROM (SELECT repo_id, id, list_filter(regexp_split_to_array(lower(coalesce(docstring, '')), '[^a-z0-9_]+'), lambda x: x <> '') t FROM funcs) WHERE len(t) > 0)"),
+    "search_fulltext_classes": with_(["classes"], "SELECT d.repo_id, d.id, d.name, d.docstring, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM (SELECT repo_id, id, len, w, len(list_filter(t, lambda x: x = w)) tf FROM (SELECT *, unnest(['and', 'buffer', 'cache', 'index', 'the']) w FROM doc)) h JOIN (SELECT w, count(*) df FROM (SELECT t, unnest(['and', 'buffer', 'cache', 'index', 'the']) w FROM doc) WHERE list_contains(t, w) GROUP BY 1) USING (w) CROSS JOIN (SELECT count(*) n, avg(len) avg_len FROM doc) JOIN classes d ON d.repo_id = h.repo_id AND d.id = h.id WHERE tf > 0 GROUP BY ALL", "doc AS (SELECT repo_id, id, t, len(t) len FROM (SELECT repo_id, id, list_filter(regexp_split_to_array(lower(coalesce(docstring, '')), '[^a-z0-9_]+'), lambda x: x <> '') t FROM classes) WHERE len(t) > 0)"),
+    "parsed_functions": with_(["funcs"], "SELECT DISTINCT f.repo_id, f.id, f.name, f.start_line, f.end_line, f.is_async FROM funcs f SEMI JOIN file_sources s ON s.repo_id = f.repo_id AND s.path = f.path WHERE regexp_matches(f.path, '\\.(py|pyw|go)$')"),
+    "parsed_classes": with_(["classes"], "SELECT DISTINCT c.repo_id, c.id, c.name, c.start_line, c.end_line FROM classes c SEMI JOIN file_sources s ON s.repo_id = c.repo_id AND s.path = c.path WHERE regexp_matches(c.path, '\\.pyw?$')"),
     "p1_found": "WITH r AS (SELECT * FROM code_files WHERE content_hash IS NOT NULL OR is_deleted IS NOT NULL), s AS (SELECT repo_id, max(started_at) since FROM index_runs WHERE status = 'success' GROUP BY 1), cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn FROM r) WHERE rn = 1), seen AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.repo_id, path ORDER BY scanned_at DESC, scan_id DESC) rn FROM r JOIN s ON s.repo_id = r.repo_id AND arrived_at <= since) WHERE rn = 1) SELECT c.repo_id, c.path FROM cur c LEFT JOIN seen n ON n.repo_id = c.repo_id AND n.path = c.path WHERE NOT coalesce(c.is_deleted, false) AND (n.path IS NULL OR coalesce(n.is_deleted, false) OR lower(trim(c.content_hash)) <> lower(trim(n.content_hash)))",
     "p4_found": with_(["refs", "known"], "SELECT rel_id, side FROM refs r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.l = r.l AND k.id = r.id AND k.repo_id = r.key_repo)"),
     "p4_delta": with_(["refs", "known"], "SELECT rel_id, side FROM refs r WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known k WHERE k.l = r.l AND k.id = r.id AND k.repo_id = r.key_repo)"),
