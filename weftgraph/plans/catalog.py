@@ -107,8 +107,12 @@ TOPS: dict[str, tuple[str, list[str], int, list[str]]] = {
 
 def _top(name: str) -> Query:
     base, order, rows, per = TOPS[name]
-    columns = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in order]
-    return lambda spark, d: top_k(QUERIES[base](spark, d), columns, rows, per)
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        columns = [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in order]
+        return top_k(QUERIES[base](spark, d), columns, rows, per)
+
+    return run
 
 
 def class_details(spark: SparkSession, d: str) -> DataFrame:
