@@ -49,7 +49,7 @@ def parent_links(classes: DataFrame) -> DataFrame:
 
 def numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(numbers, pairs): a number v for every (repo_id, id) of a link end, and the links as (child, parent, ord) of numbers."""
-    known = links.filter("child is not null and parent is not null").groupBy("repo_id", "child", "parent").agg(F.min("ord").alias("ord"))
+    known = cut(links.filter("child is not null and parent is not null").groupBy("repo_id", "child", "parent").agg(F.min("ord").alias("ord")))
     ends = known.select("repo_id", F.explode(F.array("child", "parent")).alias("id")).distinct()
     numbers = cut(ends.withColumn("v", F.monotonically_increasing_id()))
     at = lambda end: numbers.select("repo_id", F.col("id").alias(end), F.col("v").alias(f"{end}_v"))
