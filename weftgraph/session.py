@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast by hand only while its rows stay under this bound; larger sides take the shuffled way.
-BROADCAST_ROWS = 20_000
-
-
 def get_session(app: str = "weftgraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE, Arrow and UTC; ``conf`` entries win over the defaults."""
     builder = SparkSession.builder.appName(app)
@@ -58,8 +54,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def bounded_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``rows`` (counted or known by construction) is within ``bound``."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if rows <= bound else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan with filters and projections, over all cores: a table of fewer splits than cores is dealt out row by row
+    before work that costs more than the move. Tables with enough splits stay as they are."""
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
