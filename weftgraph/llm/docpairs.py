@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.structure import structure
 from weftgraph.llm.syntax import language_of
+from weftgraph.session import spread
 
 #: New words that a sentence, and a tag line, must hold.
 NEW_WORDS, NEW_TAG_WORDS = 3, 4
@@ -129,7 +130,7 @@ def token_rows(files: DataFrame) -> DataFrame:
                 "line": [x.line for x in t], "until": [x.to for x in t], "name": [x.names for x in t],
             })
 
-    lexed = _keyed(files).select("h1", "h2", "lang", "source").mapInPandas(run, _TOKENS)
+    lexed = spread(_keyed(files).select("h1", "h2", "lang", "source")).mapInPandas(run, _TOKENS)
     columns = ["kind", "pos", "stop", "line", "until", "name"]
     once = lexed.groupBy(*FILE).agg(*[F.first(c).alias(c) for c in columns])
     return once.select(*FILE, F.posexplode(F.arrays_zip(*columns)).alias("i", "t")).select(*FILE, "i", "t.*")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import spread
+
 #: Shingle length and similarity of a copy.
 SHINGLE, SIMILAR = 5, 0.8
 
@@ -240,7 +242,7 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
             yield pd.DataFrame({"repo_id": b["repo_id"], "path": b["path"], "by_path": b["by_path"], "found": hit})
 
     src = files.filter(F.col("path").isNotNull()).select("repo_id", "path", by_path(F.col("path")).alias("by_path"), F.coalesce("source", F.lit("")).alias("source"))
-    return src.mapInPandas(run, "repo_id string, path string, by_path boolean, found boolean")
+    return spread(src).mapInPandas(run, "repo_id string, path string, by_path boolean, found boolean")
 
 
 def not_handwritten(files: DataFrame, upstream: DataFrame) -> DataFrame:

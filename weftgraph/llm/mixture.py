@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.tokens import TOKENIZERS, encoder
-from weftgraph.session import cut
+from weftgraph.session import cut, spread
 
 #: Tokens of a block, and buckets of the two-level sums.
 BLOCK, BUCKETS = 4096, 64
@@ -48,7 +48,7 @@ def sizes(docs: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k")
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(enc.encode_ordinary(t)) for t in b["text"]]})
 
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("source is not null and text is not null and text <> ''")
-    counted = d.mapInPandas(run, "doc_id bigint, source string, tokens bigint")
+    counted = spread(d).mapInPandas(run, "doc_id bigint, source string, tokens bigint")
     return counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens")).filter("tokens > 0")
 
 

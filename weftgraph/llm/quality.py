@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import spread
+
 # Words that running text of a language cannot do without.
 COMMON = {
     "en": "the a an of to in is are was were be been it its that this these those and or but not no for with on by as at from when while if than which who what has have had do does will would can cannot must should may only so because although unless whenever until before after since our we you they them one each every",
@@ -151,7 +153,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, words bigint, {', '.join(f'{m} double' for m in MEASURES)}, chars bigint, language string"
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, schema)
+    d = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(run, schema)
     nan = lambda m: F.when(~F.isnan(m), F.col(m)).alias(m)
     return d.select(key, "words", *[nan(m) for m in MEASURES], "chars", "language")
 

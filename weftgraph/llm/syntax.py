@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.grammar import grammar, recogniser
 from weftgraph.llm.lexers import ERROR, SUFFIXES, lex
 from weftgraph.llm.rules import RULES
-from weftgraph.session import scratch
+from weftgraph.session import scratch, spread
 
 KEY = ["h1", "h2"]
 
@@ -51,7 +51,7 @@ def lexed(files: DataFrame) -> DataFrame:
         F.xxhash64("source", "path", "repo_id").alias("h1"), F.xxhash64("repo_id", "path", F.length("source")).alias("h2"),
         language_of(F.col("path")).alias("lang"), "source",
     ).filter("lang is not null and source is not null")
-    out = src.mapInPandas(run, "h1 bigint, h2 bigint, lang string, error boolean, codes string, pairs array<int>")
+    out = spread(src).mapInPandas(run, "h1 bigint, h2 bigint, lang string, error boolean, codes string, pairs array<int>")
     return out.groupBy(*KEY).agg(F.first("lang").alias("lang"), F.first("error").alias("error"), F.first("codes").alias("codes"), F.first("pairs").alias("pairs"))
 
 

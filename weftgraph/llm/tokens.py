@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import spread
+
 #: Folder with the vocabulary files; a parameter of every function here.
 TOKENIZERS = os.environ.get("WEFTGRAPH_TOKENIZERS", "/opt/tokenizers")
 #: Characters the rolling hash looks at, and the mean distance of cuts: at one in SAFE of the places before a blank, and at
@@ -152,7 +154,7 @@ def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null and text <> ''")
     kind = dict(d.dtypes)["key"]
-    c = d.mapInPandas(run, f"key {kind}, pos int, safe boolean, chunk string")
+    c = spread(d).mapInPandas(run, f"key {kind}, pos int, safe boolean, chunk string")
     return c.withColumn("k1", F.xxhash64("chunk")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("chunk")))
 
 
